@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from passagework.llm import conversations as conv
-from passagework.session import read_table
+from passagework.llm import encoding, mixing, neighbours, splitting
+from passagework.session import cut_lineage, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,3 +65,52 @@ UNION ALL SELECT id, CASE WHEN answered THEN id END FROM rows WHERE (chat_id IS
 )
 def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv.pair_rows(read_table(spark, sf_dir, "chat_history"))
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = neighbours.decode_vectors(read_table(spark, sf_dir, "document_chunks"))
+    return neighbours.mutual_pairs(neighbours.most_similar(vectors, k=5, at_least=0.90))
+
+
+_LIMITS = f"""
+WITH held AS (SELECT lower(trim(id, {_SPACES})) AS file, arg_max({{'s': chunk_size}}, updated_at).s AS size FROM files GROUP BY ALL),
+limits AS (SELECT file, coalesce(least(greatest(size, 200), 4000), 1200) AS size FROM held)
+"""
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_oversized(read_table(spark, sf_dir, "document_chunks"), read_table(spark, sf_dir, "files"))
+
+
+@query(
+    "p5_found",
+    _LIMITS + f"SELECT DISTINCT id AS chunk_id FROM document_chunks LEFT JOIN limits ON file = lower(trim(file_id, {_SPACES})) WHERE length(content) > coalesce(size, 1200)",
+)
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir).where("piece_no = 0").select("chunk_id")
+
+
+@query("p5_pieces")
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir)
+
+
+@query("p7_ids")
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.encode_texts(read_table(spark, sf_dir, "documents"))
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.count_tokens(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+@query("p8_mix")
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.draw_mix(_sized(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"))
+
+
+@query("p8_shares")
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, targets = cut_lineage(_sized(spark, sf_dir)), read_table(spark, sf_dir, "mix_targets")
+    return mixing.mix_report(mixing.draw_mix(docs, targets), docs, targets)
