@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from passagework.llm import conversations as conv
-from passagework.llm import encoding, mixing, neighbours, splitting
+from passagework.llm import encoding, mixing, neighbours, personal, splitting
 from passagework.session import cut_lineage, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +74,23 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.mutual_pairs(neighbours.most_similar(vectors, k=5, at_least=0.90))
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = personal.texts_of(read_table(spark, sf_dir, "document_chunks"), "document_chunks", "content")
+    return chunks.unionByName(personal.texts_of(read_table(spark, sf_dir, "chat_history"), "chat_history", "user_query"))
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.find_mentions(_texts(spark, sf_dir))
+    return found.select(F.col("source").alias("source_table"), "row_id", F.col("start").alias("start_pos"), "pii_type")
+
+
+@query("p3_redacted")
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _texts(spark, sf_dir)
+    return personal.redact(texts, personal.find_mentions(texts))
+
+
 _LIMITS = f"""
 WITH held AS (SELECT lower(trim(id, {_SPACES})) AS file, arg_max({{'s': chunk_size}}, updated_at).s AS size FROM files GROUP BY ALL),
 limits AS (SELECT file, coalesce(least(greatest(size, 200), 4000), 1200) AS size FROM held)
