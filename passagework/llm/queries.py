@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.llm import conversations as conv
-from passagework.llm import encoding, mixing, neighbours, personal, splitting
+from passagework.llm import encoding, mixing, neighbours, pairs, personal, splitting, subjects
 from passagework.session import cut_lineage, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,3 +132,23 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, targets = cut_lineage(_sized(spark, sf_dir)), read_table(spark, sf_dir, "mix_targets")
     return mixing.mix_report(mixing.draw_mix(docs, targets), docs, targets)
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defects(read_table(spark, sf_dir, "chat_history"))
+
+
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subjects_of(*(read_table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subject_areas")))
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+@query("p9_composition")
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and sentences of every subject."""
+    return _subjects(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("n_docs"), F.sum("n_about").alias("n_sentences"))
