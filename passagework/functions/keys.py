@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Characters that count as surrounding space of a key.
-SPACES = " \t\n\r\x0b\x0c ​﻿"
+SPACES = " \t\n\r\x0b\x0c\u00a0\u200b\ufeff"
 
 
 def strip(col: Column) -> Column:
