@@ -122,7 +122,7 @@ def activity_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of the log, newest first, with the number of all rows that match."""
     rows = read_table(spark, sf_dir, "events").where(F.upper("event_type") == "ERROR")
     page = cat.paged(rows, F.desc("ts"), F.desc("event_id"), offset=100, limit=50)
-    return page.select("event_id", "user_id", "event_type", F.lit(rows.count()).alias("total"))
+    return page.select("event_id", "user_id", "event_type", F.lit(rows.count()).cast("long").alias("total"))
 
 
 @query("activity_by_day", "SELECT CAST(ts AS DATE) AS day, upper(event_type) AS action, count(*) AS n, count(DISTINCT user_id) AS n_users, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL")

@@ -131,7 +131,7 @@ def extract(name: str, modality: str, data: bytes) -> tuple[str, str | None]:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """path, file_name, modality, title, text, notice of every file under ``path``."""
+    """path, file_name, modality, title, text, notice of every file under ``path`` that isn't empty."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.substring_index(F.col("path"), "/", -1)
     typed = rows.select("path", name.alias("file_name"), modality_of(name, F.lit(None).cast("string")).alias("modality"), "content")
