@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Question vectors that are compared in one pass over the stored vectors; bounds what is broadcast.
@@ -55,3 +55,26 @@ def dense_topk(vectors: DataFrame, asked: DataFrame, k: int = 8, dim: int | None
     rows = rows.where("score > 0") if positive else rows
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "item")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+#: Least similarity that counts as evidence, by model family; and where no family is known.
+FLOORS, FLOOR = {"embeddinggemma": 0.20}, 0.62
+
+
+def floor_of(model: Column) -> Column:
+    """Least similarity of a model's vectors that counts as evidence; a tag behind a colon doesn't matter."""
+    known = F.create_map(*(x for pair in FLOORS.items() for x in map(F.lit, pair)))
+    return F.coalesce(F.try_element_at(known, F.lower(F.substring_index(model, ":", 1))), F.lit(FLOOR))
+
+
+def blended(lexical: DataFrame, dense: DataFrame, k: int = 5, rrf_k: int = 60) -> DataFrame:
+    """query_id, chunk_id, score, rank: both ranked lists fused by reciprocal rank, ties in the lexical order. Questions
+    without dense results keep their lexical list as it is."""
+    lists = lexical.select("query_id", "chunk_id", "rank", "score", F.lit(0).alias("side")).unionByName(dense.select("query_id", "chunk_id", "rank", "score", F.lit(1).alias("side")))
+    both = F.max("side").over(Window.partitionBy("query_id")) == 1
+    rows = lists.withColumn("both", both).groupBy("query_id", "chunk_id").agg(
+        F.sum(1.0 / (rrf_k + F.col("rank"))).alias("fused"), F.max(F.when(F.col("side") == 0, F.col("score"))).alias("own"), F.coalesce(F.min(F.when(F.col("side") == 0, F.col("rank"))), F.lit(10**9)).alias("first"), F.first("both").alias("both")
+    )
+    scored = rows.select("query_id", "chunk_id", "first", F.when(F.col("both"), F.col("fused")).otherwise(F.col("own")).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "first", "chunk_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("first")

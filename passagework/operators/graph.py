@@ -65,3 +65,11 @@ def degrees(edges_: DataFrame) -> DataFrame:
 def top_edges(edges_: DataFrame, k: int = 5) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("weight"), "target"))
     return edges_.withColumn("place", n).where(F.col("place") <= k)
+
+
+def aliases(found: DataFrame, most: int = 6) -> DataFrame:
+    """word, alias, place: other words of entities of several words that a word is part of, in order of appearance; the first ``most``."""
+    words = found.select(F.struct("chunk_id", "ord").alias("at"), F.array_distinct(tokens(F.col("name"))).alias("ws")).where(F.size("ws") > 1)
+    pairs = words.select("at", F.posexplode("ws").alias("i", "word"), "ws").select("at", "word", F.posexplode("ws").alias("j", "alias")).where("word != alias")
+    first = pairs.groupBy("word", "alias").agg(F.min(F.struct("at", "j")).alias("at"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy("word").orderBy("at", "alias"))).where(F.col("place") <= most).select("word", "alias", "place")

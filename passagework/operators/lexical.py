@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagework.functions.text import INTENTS, tokens
+from passagework.session import cut_lineage
 
 #: Most question terms that are broadcast to the scan; more are joined by shuffle.
 MOST_TERMS = 100_000
+#: Most question terms that are written into the plan itself.
+LISTED_TERMS = 2000
 #: Saturation and length normalisation of BM25, weights of the lexical score.
 K1, B = 1.2, 0.75
 COVERAGE, EXACT, TITLE = 3.0, 2.0, 0.5
@@ -36,12 +39,22 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return questions.select("query_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """chunk_id, term, tf; with ``terms`` only for these."""
-    rows = chunks.select("chunk_id", F.explode(tokens(F.col("contextual"))).alias("term"))
-    if terms is not None:
-        rows = rows.join(small(terms.select("term").distinct()), "term", "left_semi")
-    return rows.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+def postings(chunks: DataFrame, terms: DataFrame | None = None, length: bool = False) -> DataFrame:
+    """chunk_id, term, tf (and ``length``, the number of tokens of the passage); with ``terms`` only for these.
+
+    A few asked terms are filtered inside the token array, so the other tokens never become rows."""
+    words = tokens(F.col("contextual"))
+    extra = [F.size(words).alias("length")] if length else []
+    if terms is None:
+        rows = chunks.select("chunk_id", *extra, F.explode(words).alias("term"))
+    else:
+        asked = terms.select("term").distinct()
+        listed = [r["term"] for r in asked.limit(LISTED_TERMS + 1).collect()]
+        if len(listed) <= LISTED_TERMS:
+            rows = chunks.select("chunk_id", *extra, F.explode(F.filter(words, lambda t: t.isin(listed) if listed else F.lit(False))).alias("term"))
+        else:
+            rows = chunks.select("chunk_id", *extra, F.explode(words).alias("term")).join(small(asked), "term", "left_semi")
+    return rows.groupBy("chunk_id", *(["length"] if length else []), "term").agg(F.count("*").alias("tf"))
 
 
 def term_stats(chunks: DataFrame) -> DataFrame:
@@ -71,7 +84,8 @@ def bm25(chunks: DataFrame, terms: DataFrame, k1: float = K1, b: float = B) -> D
     corpus, give no rows.
     """
     n, mean = corpus_size(chunks)
-    found = postings(chunks, terms).join(lengths(chunks), "chunk_id")
+    # only the asked terms, so this is small beside the corpus; it is used twice
+    found = cut_lineage(postings(chunks, terms, length=True))
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     asked = terms.join(df, "term").select("query_id", "term", "weight", "typed", idf(F.col("df"), F.lit(n)).alias("idf"))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean if mean > 0 else 1.0))
@@ -195,7 +209,7 @@ def feedback_terms(chunks: DataFrame, results: DataFrame, questions: DataFrame,
     n = chunks.count()
     first = results.where(F.col("rank") <= docs).select("query_id", "chunk_id")
     texts = chunks.join(first.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    inside = postings(texts).where(F.char_length("term") >= shortest).join(lengths(texts), "chunk_id").join(first, "chunk_id")
+    inside = cut_lineage(postings(texts, length=True).where(F.char_length("term") >= shortest).join(first, "chunk_id"))
     df = postings(chunks, inside).groupBy("term").agg(F.count("*").alias("df"))
     own = question_terms(questions).select("query_id", "term")
     scored = inside.join(own, ["query_id", "term"], "left_anti").join(df, "term").groupBy("query_id", "term").agg(F.sum(F.col("tf") / F.col("length") * idf(F.col("df"), F.lit(n))).alias("score"))

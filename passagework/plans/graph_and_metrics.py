@@ -160,3 +160,23 @@ def ir_metrics_by_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
         m = evaluation.per_query(found.withColumnRenamed("chunk_id", "item"), rel).withColumn("variant", F.lit(name))
         rows = m if rows is None else rows.unionByName(m)
     return evaluation.averaged(rows, "variant")
+
+
+@query("entity_aliases")
+def entity_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.aliases(found_entities(spark, sf_dir))
+
+
+@query(
+    "rank_blend",
+    _BASE + "," + _HYBRID
+    + """, l AS (SELECT query_id, chunk_id, rank FROM hy_r WHERE rank <= 8), b AS (SELECT query_id, chunk_id, rank FROM bmr WHERE rank <= 8),
+u AS (SELECT query_id, chunk_id, sum(1.0 / (60 + rank)) AS score, min(CASE WHEN side = 0 THEN rank END) AS first FROM (SELECT *, 0 AS side FROM l UNION ALL SELECT *, 1 FROM b) GROUP BY ALL)
+SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, coalesce(first, 1000000000), chunk_id) AS INT) AS rank, round(score, 6) AS score FROM u QUALIFY rank <= 5""",
+)
+def rank_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexical list blended with a second ranked list, here that of BM25."""
+    from passagework.plans.retrieval import bm25_ranked
+
+    rows = dense.blended(hybrid(spark, sf_dir, 8), bm25_ranked(spark, sf_dir, 8))
+    return rows.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from passagework.functions.text import document_type, modality_of, safe_name, snake_case
+from passagework.functions.text import CLOCK, FILLERS, SMALL_TALK, STOPWORDS, WORLD, document_type, message_kind, modality_of, safe_name, snake_case
 from passagework.operators import catalog as cat
 from passagework.queries import query
 from passagework.session import read_table
@@ -37,7 +37,7 @@ def deleted_per_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "resource_counts",
-    f"WITH {_R}, {_F}, {_C} SELECT r.id AS resource_id, coalesce(nf, 0) AS n_files, coalesce(nc, 0) AS n_chunks, coalesce(ne, 0) AS n_embedded FROM r LEFT JOIN (SELECT resource_id, count(*) AS nf FROM f WHERE deleted_at IS NULL GROUP BY ALL) x ON x.resource_id = r.id LEFT JOIN (SELECT resource_id, count(*) AS nc, count_if(embedded) AS ne FROM c GROUP BY ALL) y ON y.resource_id = r.id",
+    f"WITH {_R}, {_F}, {_C} SELECT r.id AS resource_id, coalesce(nf, 0) AS n_files, coalesce(nc, 0) AS n_chunks, coalesce(ne, 0) AS n_embedded FROM r LEFT JOIN (SELECT resource_id, count(*) AS nf FROM f WHERE deleted_at IS NULL GROUP BY ALL) x ON x.resource_id = r.id LEFT JOIN (SELECT resource_id, count(*) AS nc, CAST(count_if(embedded) AS BIGINT) AS ne FROM c GROUP BY ALL) y ON y.resource_id = r.id",
 )
 def resource_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files and passages of every resource, zero where there are none."""
@@ -49,7 +49,7 @@ def resource_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "file_listing",
-    f"WITH {_R}, {_F}, {_C} SELECT f.id AS file_id, f.file_name, r.resource_name, coalesce(n, 0) AS n_chunks, coalesce(ne, 0) AS n_embedded FROM f JOIN r ON f.resource_id = r.id LEFT JOIN (SELECT file_id, count(*) AS n, count_if(embedded) AS ne FROM c GROUP BY ALL) x ON x.file_id = f.id WHERE f.deleted_at IS NULL AND r.deleted_at IS NULL",
+    f"WITH {_R}, {_F}, {_C} SELECT f.id AS file_id, f.file_name, r.resource_name, coalesce(n, 0) AS n_chunks, coalesce(ne, 0) AS n_embedded FROM f JOIN r ON f.resource_id = r.id LEFT JOIN (SELECT file_id, count(*) AS n, CAST(count_if(embedded) AS BIGINT) AS ne FROM c GROUP BY ALL) x ON x.file_id = f.id WHERE f.deleted_at IS NULL AND r.deleted_at IS NULL",
 )
 def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live files of live resources with their numbers of passages; the passages are counted before the join."""
@@ -90,7 +90,7 @@ def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.select(F.col("id").alias("job_id"), "status", cat.progress(F.col("processed_documents"), F.col("total_documents"), F.col("status")).alias("percent"), F.round(seconds, 0).cast("long").alias("seconds"))
 
 
-@query("job_summary", f"WITH {_JOBS} SELECT user_id, count(*) AS n_jobs, count_if(status = 'failed') AS n_failed, count_if(processed_documents < total_documents) AS n_partial, CAST(sum(indexed_chunks) AS BIGINT) AS n_chunks FROM jobs GROUP BY ALL")
+@query("job_summary", f"WITH {_JOBS} SELECT user_id, count(*) AS n_jobs, CAST(count_if(status = 'failed') AS BIGINT) AS n_failed, CAST(count_if(processed_documents < total_documents) AS BIGINT) AS n_partial, CAST(sum(indexed_chunks) AS BIGINT) AS n_chunks FROM jobs GROUP BY ALL")
 def job_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = read_table(spark, sf_dir, "ingestion_jobs").distinct()
     return jobs.groupBy("user_id").agg(F.count("*").alias("n_jobs"), F.count_if(F.col("status") == "failed").alias("n_failed"), F.count_if(F.col("processed_documents") < F.col("total_documents")).alias("n_partial"), F.sum("indexed_chunks").cast("long").alias("n_chunks"))
@@ -133,7 +133,7 @@ def activity_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "chat_history_listing",
-    "WITH h AS (SELECT DISTINCT id, chat_id, user_id, timestamp, citations_json FROM chat_history) SELECT id, chat_id, user_id, coalesce(CASE WHEN json_valid(citations_json) AND json_type(citations_json) = 'ARRAY' THEN json_array_length(citations_json) END, 0) AS n_citations, row_number() OVER (PARTITION BY chat_id, user_id ORDER BY timestamp, id, citations_json NULLS FIRST) AS place FROM h WHERE chat_id IS NOT NULL AND timestamp IS NOT NULL",
+    "WITH h AS (SELECT DISTINCT id, chat_id, user_id, timestamp, citations_json FROM chat_history) SELECT id, chat_id, user_id, CAST(coalesce(CASE WHEN json_valid(citations_json) AND json_type(citations_json) = 'ARRAY' THEN json_array_length(citations_json) END, 0) AS BIGINT) AS n_citations, row_number() OVER (PARTITION BY chat_id, user_id ORDER BY timestamp, id, citations_json NULLS FIRST) AS place FROM h WHERE chat_id IS NOT NULL AND timestamp IS NOT NULL",
 )
 def chat_history_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of a chat and user in time order; citations that can't be read count as none."""
@@ -198,3 +198,19 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_modalities(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = current(spark, sf_dir, "files")
     return files.groupBy(modality_of(F.col("file_name"), F.col("file_type")).alias("modality")).agg(F.count("*").alias("n"), F.count_if(safe_name(F.col("file_name")) == F.col("file_name")).alias("n_safe"))
+
+
+_KIND = " ".join(f"WHEN NOT regexp_matches(q, '[0-9]') AND length(p) <= 40 AND p IN ({', '.join(repr(x) for x in texts.split('|'))}) THEN '{name}'" for name, texts in SMALL_TALK.items())
+_LEFT = "list_filter(string_split(p, ' '), lambda w: w <> '' AND NOT list_contains([{}], w))".format(", ".join(f"'{w}'" for w in [*STOPWORDS, *FILLERS]))
+
+
+@query(
+    "message_kinds",
+    f"WITH h AS (SELECT DISTINCT id, user_query AS q, trim(regexp_replace(regexp_replace(lower(user_query), '[^a-z\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS p FROM chat_history WHERE user_query IS NOT NULL), k AS (SELECT id, CASE {_KIND} "
+    + " ".join(f"WHEN len({_LEFT}) > 0 AND len(list_filter({_LEFT}, lambda w: NOT list_contains([{', '.join(repr(w) for w in words)}], w))) = 0 THEN '{name}'" for name, words in (("clock", CLOCK), ("world", WORLD)))
+    + " ELSE 'document' END AS kind FROM h) SELECT kind, count(*) AS n FROM k GROUP BY ALL",
+)
+def message_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat messages by whether they ask the documents anything."""
+    rows = read_table(spark, sf_dir, "chat_history").where("user_query is not null").select("id", "user_query").distinct()
+    return rows.groupBy(message_kind(F.col("user_query")).alias("kind")).agg(F.count("*").alias("n"))

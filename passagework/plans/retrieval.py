@@ -85,7 +85,7 @@ def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lex.term_stats(chunks(spark, sf_dir)).withColumn("idf", F.round("idf", 6))
 
 
-@query("corpus_stats", _BASE + " SELECT count(*) AS n_chunks, round(avg(length), 6) AS mean_length, max(length) AS longest, count_if(length = 0) AS empty FROM len")
+@query("corpus_stats", _BASE + " SELECT count(*) AS n_chunks, round(avg(length), 6) AS mean_length, max(length) AS longest, CAST(count_if(length = 0) AS BIGINT) AS empty FROM len")
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     length = lex.lengths(chunks(spark, sf_dir))
     return length.agg(F.count("*").alias("n_chunks"), F.round(F.avg("length"), 6).alias("mean_length"), F.max("length").cast("long").alias("longest"), F.count_if(F.col("length") == 0).alias("empty"))
