@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from passagework.functions.text import category_of, document_type, parent_key, version_of
 from passagework.operators import dense, evaluation, graph
 from passagework.operators import lexical as lex
-from passagework.plans.retrieval import _BASE, _HYBRID, chunks, hybrid, questions
+from passagework.plans.retrieval import _BASE, _HYBRID, GRAPH_SQL, chunks, graph_ranked, hybrid, questions
 from passagework.queries import query
 from passagework.session import read_table
 
@@ -66,21 +66,11 @@ def strongest_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "graph_topk",
     _BASE + "," + _HYBRID
-    + r""", ent AS (SELECT DISTINCT id AS entity, name, weight, chunk_refs_json FROM rag_graph_entities),
-refs AS (SELECT DISTINCT entity, name, weight, unnest(from_json(chunk_refs_json, '["VARCHAR"]')) AS chunk_id FROM ent),
-words AS (SELECT DISTINCT entity, lower(unnest(regexp_extract_all(name, '[A-Za-z0-9][A-Za-z0-9_-]{1,}'))) AS term FROM ent),
-matched AS (SELECT DISTINCT query_id, entity, weight, chunk_id FROM words JOIN qt USING (term) JOIN refs USING (entity)),
-aff AS (SELECT query_id, chunk_id, sum(1 + 0.1 * least(weight, 5)) AS a FROM matched GROUP BY ALL),
-base AS (SELECT query_id, chunk_id, score FROM hy_r WHERE rank <= 8),
-boosted AS (SELECT coalesce(b.query_id, a.query_id) AS query_id, coalesce(b.chunk_id, a.chunk_id) AS chunk_id,
-  coalesce(score, 0) + coalesce((CASE WHEN coalesce((SELECT max(score) FROM base x WHERE x.query_id = a.query_id), 0) > 0 THEN 0.35 * (SELECT max(score) FROM base x WHERE x.query_id = a.query_id) ELSE 0.35 END) * a / (a + 3.0), 0) AS score
-  FROM base b FULL JOIN aff a ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id)
+    + GRAPH_SQL + """
 SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS INT) AS rank, round(score, 6) AS score FROM boosted QUALIFY rank <= 5""",
 )
 def graph_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lexical results with a boost for passages that entities of the question refer to."""
-    refs = graph.references_of(read_table(spark, sf_dir, "rag_graph_entities"))
-    return graph.graph_boost(hybrid(spark, sf_dir, 8), questions(spark), refs).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    return graph_ranked(spark, sf_dir).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(

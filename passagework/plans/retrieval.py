@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from passagework.functions.text import STOPWORDS, best_sentence, tokens
+from passagework.operators import graph
 from passagework.operators import lexical as lex
 from passagework.queries import query
 from passagework.session import read_table
@@ -242,6 +243,24 @@ def extractive_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("query_id", F.array_join(F.transform(again, lambda s: F.concat(F.lit("- "), s)), "\n").alias("answer"))
 
 
+#: Tables up to ``boosted``: the first eight lexical results and what entities of the question add.
+GRAPH_SQL = r""", ent AS (SELECT DISTINCT id AS entity, name, weight, chunk_refs_json FROM rag_graph_entities),
+refs AS (SELECT DISTINCT entity, name, weight, unnest(from_json(chunk_refs_json, '["VARCHAR"]')) AS chunk_id FROM ent),
+words AS (SELECT DISTINCT entity, lower(unnest(regexp_extract_all(name, '[A-Za-z0-9][A-Za-z0-9_-]{1,}'))) AS term FROM ent),
+matched AS (SELECT DISTINCT query_id, entity, weight, chunk_id FROM words JOIN qt USING (term) JOIN refs USING (entity)),
+aff AS (SELECT query_id, chunk_id, sum(1 + 0.1 * least(weight, 5)) AS a FROM matched GROUP BY ALL),
+base AS (SELECT query_id, chunk_id, score FROM hy_r WHERE rank <= 8),
+boosted AS (SELECT coalesce(b.query_id, a.query_id) AS query_id, coalesce(b.chunk_id, a.chunk_id) AS chunk_id,
+  coalesce(score, 0) + coalesce((CASE WHEN coalesce((SELECT max(score) FROM base x WHERE x.query_id = a.query_id), 0) > 0 THEN 0.35 * (SELECT max(score) FROM base x WHERE x.query_id = a.query_id) ELSE 0.35 END) * a / (a + 3.0), 0) AS score
+  FROM base b FULL JOIN aff a ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id)"""
+
+
+def graph_ranked(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
+    """The lexical results with a boost for passages that entities of the question refer to."""
+    refs = graph.references_of(read_table(spark, sf_dir, "rag_graph_entities"))
+    return graph.graph_boost(hybrid(spark, sf_dir, 8), questions(spark), refs, k)
+
+
 def agentic(spark: SparkSession, sf_dir: str, k: int = 7) -> DataFrame:
     """Several rankings as weighted tools, merged by share of the tool's best score and rank; then a penalty for
     sources that were already picked. Within a source the results come in descending order, so the
@@ -255,6 +274,7 @@ def agentic(spark: SparkSession, sf_dir: str, k: int = 7) -> DataFrame:
         (fusion(spark, sf_dir, 5).select(*cols), F.lit(1.25)),
         (corrective(spark, sf_dir).select(*cols), F.lit(1.15)),
         (hybrid(spark, sf_dir, 5, counted=False, boost=True).select(*cols), F.col("multi")),
+        (graph_ranked(spark, sf_dir).select(*cols), F.col("graph")),
     ]
     rows = reduce(DataFrame.unionByName, [t.join(F.broadcast(weights), "query_id").select(*cols, w.alias("weight"), F.lit(i).alias("tool")) for i, (t, w) in enumerate(tools)])
     share = F.col("score") / F.max("score").over(Window.partitionBy("query_id", "tool")) * F.col("weight") + 1.0 / (F.col("rank") + 4)
@@ -267,12 +287,15 @@ def agentic(spark: SparkSession, sf_dir: str, k: int = 7) -> DataFrame:
 @query(
     "agentic_merge",
     _BASE + "," + _HYBRID + "," + _MM + "," + _cover_sql(3) + _FUSION
-    + r""", w AS (SELECT query_id, CASE WHEN regexp_matches(lower(question), '\b(table|row|column|spreadsheet|image|figure|diagram|chart|audio|recording)\b') THEN 1.35 ELSE 0.75 END AS multi FROM q),
+    + GRAPH_SQL
+    + r""", gr AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank, score FROM boosted),
+w AS (SELECT query_id, CASE WHEN regexp_matches(lower(question), '\b(relat|connect|between|depend|link)') THEN 1.35 ELSE 0.85 END AS graph, CASE WHEN regexp_matches(lower(question), '\b(table|row|column|spreadsheet|image|figure|diagram|chart|audio|recording)\b') THEN 1.35 ELSE 0.75 END AS multi FROM q),
 tools AS (SELECT query_id, chunk_id, rank, score, 1.0 AS weight, 0 AS tool FROM hy_r WHERE rank <= 8
   UNION ALL SELECT query_id, chunk_id, rank, score, 1.25, 1 FROM fu_r WHERE rank <= 5
   UNION ALL SELECT query_id, chunk_id, rank, score, 1.15, 2 FROM hy_r WHERE rank <= 5 AND query_id IN (SELECT query_id FROM cov WHERE covered >= 0.35 AND best > 0)
   UNION ALL SELECT query_id, chunk_id, rank, score, 1.15, 2 FROM fu_r WHERE rank <= 5 AND query_id IN (SELECT query_id FROM cov WHERE NOT (covered >= 0.35 AND best > 0))
-  UNION ALL SELECT query_id, chunk_id, rank, score, multi, 3 FROM mm_r JOIN w USING (query_id) WHERE rank <= 5),
+  UNION ALL SELECT query_id, chunk_id, rank, score, multi, 3 FROM mm_r JOIN w USING (query_id) WHERE rank <= 5
+  UNION ALL SELECT query_id, chunk_id, rank, score, graph, 4 FROM gr JOIN w USING (query_id) WHERE rank <= 5),
 shared AS (SELECT query_id, chunk_id, score / max(score) OVER (PARTITION BY query_id, tool) * weight + 1.0 / (rank + 4) AS score FROM tools),
 merged AS (SELECT query_id, chunk_id, source_name, sum(score) AS score FROM shared JOIN c USING (chunk_id) GROUP BY ALL),
 pen AS (SELECT query_id, chunk_id, score - 0.15 * (row_number() OVER (PARTITION BY query_id, source_name ORDER BY round(score, 9) DESC, chunk_id) - 1) AS score FROM merged)

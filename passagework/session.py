@@ -38,6 +38,13 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df in at least as many partitions as a shuffle has: a few input files must not leave cores idle in a Python-bound
+    scan. Input that is split finely enough already isn't shuffled."""
+    n = parallelism(df.sparkSession)
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n, F.xxhash64(*keys))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there.
 
