@@ -10,6 +10,21 @@ from passagework.operators import chunking
 from passagework.queries import query
 from passagework.session import read_table
 
+_SPACE = r"[\s\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_NORMAL = f"d AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, trim(regexp_replace(text, '{_SPACE}', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL)"
+#: Windows of 1200 with an overlap of 180, one after another; p is the place of the last full stop, from the window's end.
+_CHARACTER = f"""WITH RECURSIVE {_NORMAL},
+w AS (
+  SELECT doc_id, t, n, 0 AS s, CASE WHEN n <= 1200 THEN n WHEN p > 0 AND 1199 - p > 600 THEN 1200 - p ELSE 1200 END AS e
+  FROM (SELECT doc_id, t, length(t) AS n, strpos(reverse(substring(t, 1, 1200)), ' .') AS p FROM d WHERE t <> '')
+  UNION ALL
+  SELECT doc_id, t, n, s2, CASE WHEN n - s2 <= 1200 THEN n WHEN p > 0 AND 1199 - p > 600 THEN s2 + 1200 - p ELSE s2 + 1200 END
+  FROM (SELECT doc_id, t, n, greatest(0, e - 180) AS s2, strpos(reverse(substring(t, greatest(0, e - 180) + 1, 1200)), ' .') AS p FROM w WHERE e < n)),
+piece AS (SELECT doc_id, s, substring(t, s + 1, e - s) AS raw FROM w)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INT) AS chunk_index, CAST(s + length(raw) - length(ltrim(raw)) AS INT) AS "start",
+  CAST(s + length(rtrim(raw)) AS INT) AS "end", trim(raw) AS content FROM piece WHERE trim(raw) <> ''"""
+
+
 def _cut(strategy: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return chunking.cut(read_table(spark, sf_dir, "documents"), strategy)
@@ -17,8 +32,8 @@ def _cut(strategy: str):
     return run
 
 
-for _s in ("character", "sentence", "paragraph"):
-    query(f"chunk_{_s}")(_cut(_s))
+for _s in chunking.STRATEGIES[:3]:
+    query(f"chunk_{_s}", _CHARACTER if _s == "character" else None)(_cut(_s))
 
 
 def _line_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +44,7 @@ def _line_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "page_spans",
     """WITH p AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, unnest(range(len(ls))) AS page, unnest(ls) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
-s AS (SELECT doc_id, page, trim(regexp_replace(t, '[\\s\\x1c-\\x1f\\x85\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g')) AS t FROM p)
+s AS (SELECT doc_id, page, trim(regexp_replace(t, '""" + _SPACE + """', ' ', 'g')) AS t FROM p)
 SELECT doc_id, CAST(page AS INT) AS page, CAST(coalesce(sum(length(t) + 1) OVER w, 0) AS INT) AS "start", CAST(coalesce(sum(length(t) + 1) OVER w, 0) + length(t) AS INT) AS "end" FROM s WHERE t <> ''
 WINDOW w AS (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
 )
