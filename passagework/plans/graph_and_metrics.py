@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from passagework.functions.text import category_of, document_type, parent_key, version_of
 from passagework.operators import dense, evaluation, graph
 from passagework.operators import lexical as lex
-from passagework.plans.retrieval import _BASE, _HYBRID, GRAPH_SQL, chunks, graph_ranked, hybrid, questions
+from passagework.plans.retrieval import _BASE, _HYBRID, _STOP, GRAPH_SQL, chunks, graph_ranked, hybrid, questions
 from passagework.queries import query
 from passagework.session import read_table
 
@@ -18,12 +18,27 @@ def found_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.chunk_entities(chunks(spark, sf_dir))
 
 
-@query("entity_nodes")
+#: Letters beyond ASCII join words for the engine, so they become an underscore here.
+_ENTITIES = (
+    _BASE
+    + r""", runs AS (SELECT chunk_id, list_filter(regexp_extract_all(regexp_replace(content, '[^\x00-\x7F\p{Z}\p{P}\p{S}\p{C}\p{M}]', '_', 'g'), '\b[A-Z][A-Za-z0-9]+(?:\s+[A-Z][A-Za-z0-9]+){0,3}'), lambda r: length(r) BETWEEN 3 AND 80 AND NOT list_contains("""
+    + _STOP
+    + """, lower(r))) AS raw FROM c),
+ent AS (SELECT chunk_id, unnest(xs) AS name, unnest(range(len(xs))) AS ord FROM (SELECT chunk_id, list_filter(list_transform(range(len(raw)), lambda i: CASE WHEN list_position(raw, raw[i + 1]) = i + 1 THEN raw[i + 1] END), lambda v: v IS NOT NULL)[1:20] AS xs FROM runs))"""
+)
+
+
+@query("entity_nodes", _ENTITIES + " SELECT lower(name) AS key, arg_max(name, {'c': chunk_id, 'o': ord}) AS name, count(DISTINCT chunk_id) AS weight FROM ent GROUP BY lower(name)")
 def entity_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.nodes(found_entities(spark, sf_dir))
 
 
-@query("entity_edges")
+@query(
+    "entity_edges",
+    _ENTITIES
+    + """, ks AS (SELECT DISTINCT chunk_id, lower(name) AS key FROM ent), n AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY key) AS i FROM ks)
+SELECT a.key AS source, b.key AS target, count(*) AS weight FROM n a JOIN n b ON a.chunk_id = b.chunk_id AND b.i - a.i BETWEEN 1 AND 3 GROUP BY ALL""",
+)
 def entity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.edges(found_entities(spark, sf_dir))
 
