@@ -141,15 +141,17 @@ def pages_of(spans: Column, start: Column, end: Column) -> tuple[Column, Column]
     return F.array_min(hit), F.array_max(hit)
 
 
-def cut(df: DataFrame, strategy: str = "character", size: int = DEFAULT_SIZE, overlap: int = DEFAULT_OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, chunk_index, start, end, content of the passages of every text. Null, empty and blank texts have none."""
-    marked = with_marks(df.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))).where("normal != ''").select("doc_id", "normal", "breaks")
+def cut(df: DataFrame, strategy: str = "character", size: int = DEFAULT_SIZE, overlap: int = DEFAULT_OVERLAP, id_col: str = "doc_id", text_col: str = "text", spans_col: str | None = None) -> DataFrame:
+    """doc_id, chunk_index, start, end, content of the passages of every text. Null, empty and blank texts have none.
+    ``spans_col``: page spans (page, start, end) of a text that is normalised already, as ``page_spans`` gives them."""
+    spans = F.col(spans_col) if spans_col else F.array().cast("array<struct<page:int,start:int,end:int>>")
+    marked = with_marks(df.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"), spans.alias("spans"))).where("normal != ''").select("doc_id", "normal", "breaks", "spans")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, text, breaks in zip(batch["doc_id"], batch["normal"], batch["breaks"], strict=True):
-                spans = passages(text, strategy, size, overlap, [int(b) for b in breaks])
+            for doc, text, breaks, pages in zip(batch["doc_id"], batch["normal"], batch["breaks"], batch["spans"], strict=True):
+                spans = passages(text, strategy, size, overlap, [int(b) for b in breaks], [(int(p["start"]), int(p["end"])) for p in pages])
                 rows += [(doc, i, a, b, text[a:b]) for i, (a, b) in enumerate(spans)]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "start", "end", "content"])
 

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 CUTS = (1, 5, 10)
 
 
-def per_query(results: DataFrame, qrels: DataFrame, cuts: tuple[int, ...] = CUTS) -> DataFrame:
+def per_query(results: DataFrame, qrels: DataFrame, cuts: tuple[int, ...] = CUTS, renumber: bool = True) -> DataFrame:
     """Metrics of every judged question: recall_k, precision_k, hit_k, ndcg_k for each cut-off, and mrr.
 
     results: query_id, item, rank (from 1). qrels: query_id, item. Repeated items keep their best rank and the list is
-    ranked anew; the denominator of precision is k, however short the list. Questions without results have zeros.
+    ranked anew (unless ``renumber`` is off); the denominator of precision is k, however short the list. Questions
+    without results have zeros.
     """
     once = results.groupBy("query_id", "item").agg(F.min("rank").alias("rank"))
-    again = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "item")))
+    again = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "item"))) if renumber else once
     relevant = qrels.select("query_id", "item").distinct()
     n = relevant.groupBy("query_id").agg(F.count("*").alias("n"))
     hits = again.join(relevant, ["query_id", "item"]).groupBy("query_id")
@@ -44,6 +45,12 @@ def group_hits(results: DataFrame, groups: DataFrame) -> DataFrame:
     return results.join(groups, ["query_id", "item"]).groupBy("query_id", "group_id").agg(F.min("rank").alias("rank"))
 
 
+def per_query_groups(results: DataFrame, groups: DataFrame, cuts: tuple[int, ...] = CUTS) -> DataFrame:
+    """The metrics of ``per_query`` with groups of interchangeable items in the place of items: a group counts once, at its first hit."""
+    hits = group_hits(results, groups).select("query_id", F.col("group_id").alias("item"), "rank")
+    return per_query(hits, groups.select("query_id", F.col("group_id").alias("item")), cuts, renumber=False)
+
+
 def nearest_rank(values: DataFrame, column: str, fraction: float, *by: str) -> DataFrame:
     """The value at position round-half-even(fraction * (n - 1)) of the sorted values."""
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))

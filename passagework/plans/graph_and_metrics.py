@@ -11,6 +11,7 @@ from passagework.operators import lexical as lex
 from passagework.plans.retrieval import _BASE, _HYBRID, _STOP, GRAPH_SQL, chunks, graph_ranked, hybrid, questions
 from passagework.queries import query
 from passagework.session import read_table
+from passagework.sources import vectors
 
 
 
@@ -185,3 +186,52 @@ def rank_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = dense.blended(hybrid(spark, sf_dir, 8), bm25_ranked(spark, sf_dir, 8))
     return rows.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+_GROUPS = _METRICS.replace("SELECT a.vec_id AS query_id, b.vec_id AS item FROM embeddings a JOIN", "SELECT a.vec_id AS query_id, b.vec_id % 5 AS item, b.vec_id FROM embeddings a JOIN").replace(
+    "n AS (SELECT query_id, count(*) AS n FROM rel GROUP BY ALL)", "n AS (SELECT query_id, count(DISTINCT item) AS n FROM rel GROUP BY ALL), gh AS (SELECT dr.query_id, rel.item, min(rank) AS rank FROM dr JOIN rel ON dr.query_id = rel.query_id AND dr.item = rel.vec_id WHERE rank <= 10 GROUP BY ALL)"
+).replace("FROM dr JOIN rel USING (query_id, item) WHERE rank <= 10", "FROM gh")
+
+
+@query("group_metrics", _GROUPS + " SELECT query_id, round(mrr, 6) AS mrr, round(recall_10, 6) AS recall_10, round(precision_10, 6) AS precision_10, round(ndcg_10, 6) AS ndcg_10, hit_1 FROM m")
+def group_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics with the relevant vectors in five groups of interchangeable ones."""
+    groups = label_judgements(spark, sf_dir).withColumn("group_id", F.col("item") % 5)
+    rows = evaluation.per_query_groups(dense_results(spark, sf_dir, 10), groups)
+    return rows.select("query_id", *(F.round(c, 6).alias(c) for c in ("mrr", "recall_10", "precision_10", "ndcg_10")), "hit_1")
+
+
+@query(
+    "job_latency",
+    """WITH j AS (SELECT DISTINCT id, status, epoch_us(finished_at) - epoch_us(started_at) AS us FROM ingestion_jobs WHERE finished_at IS NOT NULL AND started_at IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY us) - 1 AS i, count(*) OVER (PARTITION BY status) AS n FROM j)
+SELECT DISTINCT status, f AS fraction, us FROM r, (VALUES (0.5::DOUBLE), (0.95::DOUBLE)) t(f) WHERE i = CAST(round_even(f * (n - 1), 0) AS BIGINT)""",
+)
+def job_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest-rank percentiles of the time jobs took, per status."""
+    jobs = read_table(spark, sf_dir, "ingestion_jobs").select("id", "status", F.timestamp_diff("MICROSECOND", F.col("started_at"), F.col("finished_at")).alias("us")).distinct().where("us is not null")
+    rows = None
+    for f in (0.5, 0.95):
+        part = evaluation.nearest_rank(jobs, "us", f, "status").select("status", F.lit(f).alias("fraction"), F.col("value").alias("us"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+@query(
+    "vector_backfill",
+    """WITH v AS (SELECT id, any_value(embedding_model) AS model, any_value(embedding_dim) AS dim, any_value(embedding_vector) AS blob, any_value(embedding_json) AS js FROM document_chunks WHERE embedding_model IS NOT NULL GROUP BY id),
+k AS (SELECT model, CASE WHEN blob IS NOT NULL THEN CASE WHEN octet_length(blob) = 4 * dim THEN 'packed' ELSE 'broken' END WHEN js IS NULL THEN 'none' WHEN json_valid(js) AND json_type(js) = 'ARRAY' AND json_array_length(js) = dim AND NOT contains(js, 'null') THEN 'converted' ELSE 'broken' END AS state FROM v)
+SELECT model, state, count(*) AS n FROM k GROUP BY ALL""",
+)
+def vector_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a conversion of all stored vectors to the packed form finds: vectors that are packed, converted from JSON, or broken."""
+    rows = read_table(spark, sf_dir, "document_chunks").where("embedding_model is not null").dropDuplicates(["id"])
+    converted = rows.withColumn("made", vectors.pack(vectors.from_text(F.col("embedding_json"))))
+    size = 4 * F.col("embedding_dim")
+    state = (
+        F.when(F.col("embedding_vector").isNotNull(), F.when(F.octet_length("embedding_vector") == size, "packed").otherwise("broken"))
+        .when(F.col("embedding_json").isNull(), "none")
+        .when(F.octet_length("made") == size, "converted")
+        .otherwise("broken")
+    )
+    return converted.groupBy(F.col("embedding_model").alias("model"), state.alias("state")).agg(F.count("*").alias("n"))

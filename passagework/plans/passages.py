@@ -79,3 +79,9 @@ def indexing_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     size, overlap, strategy = chunking.settings(F.col("chunk_size"), F.col("chunk_overlap"), F.col("chunk_strategy"))
     rows = read_table(spark, sf_dir, "files").select("id", "updated_at", "chunk_size", "chunk_overlap", "chunk_strategy").distinct()
     return rows.select(F.col("id").alias("file_id"), "updated_at", size.alias("size"), overlap.alias("overlap"), strategy.alias("strategy"))
+
+
+@query("chunk_page")
+def chunk_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One passage per page (here per line), longer pages cut by characters."""
+    return chunking.cut(chunking.page_spans(_line_pages(spark, sf_dir)), "page", spans_col="spans")

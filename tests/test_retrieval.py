@@ -150,3 +150,21 @@ def test_pipeline_contract(spark):
     assert all(r.n_pool >= r.n_reranked >= r.n_distinct >= len(rows) for r in rows)
     kept = {r.stage: r.kept for r in trace(retrieve(frame(spark, texts), q)).collect()}
     assert kept["fusion"] >= kept["rerank"] >= kept["dedup"] >= kept["diversity"]
+
+
+def test_vector_codec(spark):
+    from passagework.sources import vectors
+
+    df = spark.createDataFrame([("[1, 2.5]",), ("[1, null]",), ('{"a": 1}',), ("[1, 2",), (None,), ("[]",)], "t string")
+    got = [r.v for r in df.select(vectors.from_text(F.col("t")).alias("v")).collect()]
+    assert got == [[1.0, 2.5], None, None, None, None, []]
+    back = df.select(vectors.unpack(vectors.pack(vectors.from_text(F.col("t")))).alias("v")).collect()
+    assert [r.v for r in back] == got
+    assert spark.createDataFrame([(b"123",)], "b binary").select(vectors.unpack(F.col("b")).alias("v")).first().v is None
+
+
+def test_group_metrics(spark):
+    results = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", 3)], "query_id int, item string, rank int")
+    groups = spark.createDataFrame([(1, 0, "b"), (1, 0, "a"), (1, 1, "c"), (1, 2, "z")], "query_id int, group_id int, item string")
+    m = evaluation.per_query_groups(results, groups).first()
+    assert m.mrr == 1.0 and math.isclose(m.recall_5, 2 / 3) and math.isclose(m.ndcg_5, (1 + 1 / 2) / (1 + 1 / math.log2(3) + 1 / 2))
