@@ -11,26 +11,27 @@
 4. Candidates whose instance or patterns came out with high confidence are mentions, so shapes, names
    and streets that no seed knew are found by the company they keep.
 
-Patterns and words are aggregated before any join, and those of the second scan are broadcast only
-with a support relative to the corpus, which bounds their number.
+Patterns and words are aggregated before any join. The second scan, for names in lower case, broadcasts
+two filters of fixed size and joins what passes them with all learned words.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagework.session import cut_lineage, spread
+from passagework.session import cut_lineage, salted_lookup, spread
 
 #: Rounds of scoring, and the confidence from which a candidate is a mention.
 ROUNDS, ACCEPT = 3, 0.5
-#: Words that are looked for in lower case must make up this share of all name words, so they are at most its inverse.
-RELATIVE_SUPPORT = 1e-5
+#: Bits of the filter before the second scan's joins. More words than that let more candidates through and lose none.
+FILTER_BITS, _BUCKET = 2**23, 2**15
 
 #: Street words, as seeds of addresses.
 STREETS = {
@@ -292,41 +293,77 @@ def _name_mentions(pairs: DataFrame, given: DataFrame, surname: DataFrame, patte
     return mine.withColumn("score", score).where(fits).select("source", "row_id", "start", "end", F.lit("name").alias("pii_type"), "score")
 
 
-def _find_lower(words: object):
-    """Second scan: names in lower case, of words that were learned from names in capitals."""
+def _bitmap(words: DataFrame, col: str) -> bytes:
+    """A bit for each word's CRC. It is of fixed size, whatever the corpus; other words may share a bit."""
+    at = F.pmod(F.crc32(F.col(col).cast("binary")), F.lit(FILTER_BITS))
+    parts = words.groupBy(F.floor(at / _BUCKET).cast("int").alias("bucket")).agg(F.expr(f"bitmap_construct_agg(pmod(crc32(cast({col} AS binary)), {_BUCKET}L))").alias("bits"))
+    bits = bytearray(FILTER_BITS // 8)
+    for r in parts.toLocalIterator():
+        bits[r["bucket"] * _BUCKET // 8 : (r["bucket"] + 1) * _BUCKET // 8] = r["bits"]
+    return bytes(bits)
+
+
+def _find_lower(filters: object):
+    """Second scan: words in lower case that may be names by the filters. asks says what decides: 0 the given name and
+    1 the surname must be known, 2 is a further given name in front; if 3, or 4 and 5, are known, another form holds."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        given, surname = words.value
+        given_bits, surname_bits = filters.value
         particle = {"de", "la", "las", "del", "des", "du", "von", "van", "zu"}
+        seen: dict[str, tuple[bool, bool]] = {}
+
+        def maybe(word: str) -> tuple[bool, bool]:
+            if (hit := seen.get(word)) is None:
+                if len(seen) > 200_000:
+                    seen.clear()
+                at = zlib.crc32(word.encode()) % FILTER_BITS
+                hit = seen[word] = (bool(given_bits[at >> 3] >> (at & 7) & 1), bool(surname_bits[at >> 3] >> (at & 7) & 1))
+            return hit
+
         for batch in batches:
             out = []
             for source, rid, text in zip(batch["source"], batch["row_id"], batch["text"], strict=True):
-                if not given:
-                    continue
                 last = []
                 for m in LOWER.finditer(text):
                     word = fold(m.group()) if not m.group().isascii() or "-" in m.group() else m.group()
+                    may_given, may_surname = maybe(word)
                     if last and m.start() - last[-1][1] > 5:
                         last = []
-                    if last and word in surname and text[last[-1][1] : m.start()].strip() in ("", ","):
-                        start, end = (last[-1][0], m.end())
-                        if last[-1][2] in given and "," not in text[last[-1][1] : m.start()]:
-                            lead = last[-2][0] if len(last) > 1 and last[-2][2] in given and last[-2][1] + 1 == last[-1][0] else start
-                            out.append((source, rid, lead, end, "name", 0.9))
-                    elif last and word in given and "," in text[last[-1][1] : m.start()] and last[-1][2] in surname:
-                        out.append((source, rid, last[-1][0], m.end(), "name", 0.9))
-                    elif len(last) > 1 and last[-1][2] in particle:
-                        k = len(last) - 1
-                        while k and last[k][2] in particle:
-                            k -= 1
-                        if last[k][2] in given and "".join(x[2] for x in last[k + 1 :]) + word in surname:
-                            out.append((source, rid, last[k][0], m.end(), "name", 0.9))
-                    last = [*last[-4:], (m.start(), m.end(), word)]
-            yield pd.DataFrame(out, columns=["source", "row_id", "start", "end", "pii_type", "score"])
+                    if last:
+                        start, end, before, before_given, before_surname = last[-1]
+                        gap = text[end : m.start()]
+                        comma, near = "," in gap, gap.strip() in ("", ",")
+                        if may_surname and near and not comma and before_given:
+                            lead = last[-2] if len(last) > 1 and last[-2][3] and last[-2][1] + 1 == start else None
+                            out.append((source, rid, start, m.end(), lead[0] if lead else None, [f"g:{before}", f"s:{word}", f"g:{lead[2]}" if lead else None, None, None, None]))
+                        if may_given and comma and before_surname:
+                            out.append((source, rid, start, m.end(), None, [f"g:{word}", f"s:{before}", None, f"s:{word}" if near else None, None, None]))
+                        if len(last) > 1 and before in particle:
+                            k = len(last) - 1
+                            while k and last[k][2] in particle:
+                                k -= 1
+                            whole = "".join(x[2] for x in last[k + 1 :]) + word
+                            if last[k][3] and maybe(whole)[1]:
+                                out.append((source, rid, last[k][0], m.end(), None, [f"g:{last[k][2]}", f"s:{whole}", None, f"s:{word}" if near else None, *((f"g:{word}", f"s:{before}") if comma else (None, None))]))
+                    last = [*last[-4:], (m.start(), m.end(), word, may_given, may_surname)]
+            yield pd.DataFrame(out, columns=["source", "row_id", "start", "end", "lead", "asks"]).astype({"lead": "Int32"})
 
     return find
 
 
+def _lower_mentions(texts: DataFrame, given: DataFrame, surname: DataFrame) -> DataFrame:
+    """Names in lower case, of all words that were learned. The filters only spare most other words the joins."""
+    given, surname = given.where("g >= 0.6").select("given"), surname.where("s >= 0.6").select("surname")
+    filters = texts.sparkSession.sparkContext.broadcast((_bitmap(given, "given"), _bitmap(surname, "surname")))
+    some = texts.mapInPandas(_find_lower(filters), "source string, row_id string, start int, end int, lead int, asks array<string>")
+    known = given.select(F.concat(F.lit("g:"), "given").alias("ask")).unionByName(surname.select(F.concat(F.lit("s:"), "surname").alias("ask"))).withColumn("known", F.lit(True))
+    asked = some.select("source", "row_id", "start", "end", "lead", F.col("asks")[0].alias("first"), F.posexplode("asks").alias("no", "ask")).where("ask is not null")
+    form = salted_lookup(asked, known, "ask", "row_id").where("known").groupBy("source", "row_id", "start", "end", "lead", "first").agg(F.collect_set("no").alias("has"))
+    has = lambda no: F.array_contains("has", no)
+    sure = form.where(has(0) & has(1) & ~has(3) & ~(has(4) & has(5)))
+    return sure.select("source", "row_id", F.when(has(2), F.col("lead")).otherwise(F.col("start")).alias("start"), "end", F.lit("name").alias("pii_type"), F.lit(0.9).alias("score"))
+
+
 def find_mentions(texts: DataFrame) -> DataFrame:
     """Mentions of personal data in ``texts`` (source, row_id, text): source, row_id, start, end, pii_type.
 
@@ -343,13 +380,7 @@ def find_mentions(texts: DataFrame) -> DataFrame:
     emails = found.where("kind = 'email'").select("source", "row_id", "start", "end", F.lit("email").alias("pii_type"), F.lit(1.0).alias("score"))
     pairs, given, surname, patterns = _score_names(found)
     names = _name_mentions(pairs, given, surname, patterns)
-    # words with a share of all candidates' words: at most 1 / RELATIVE_SUPPORT of each kind, whatever the corpus
-    total = pairs.count()
-    least = max(1, int(total * RELATIVE_SUPPORT))
-    often_given = pairs.groupBy("given").count().where(F.col("count") >= least).join(given.where("g >= 0.6"), "given").select("given")
-    often_surname = pairs.groupBy("surname").count().where(F.col("count") >= least).join(surname.where("s >= 0.6"), "surname").select("surname")
-    words = texts.sparkSession.sparkContext.broadcast(({r[0] for r in often_given.toLocalIterator()}, {r[0] for r in often_surname.toLocalIterator()}))
-    lower = texts.mapInPandas(_find_lower(words), "source string, row_id string, start int, end int, pii_type string, score double")
+    lower = _lower_mentions(texts, given, surname)
     every = emails.unionByName(numbers).unionByName(addresses).unionByName(names).unionByName(lower.distinct())
     rank = F.element_at(F.create_map(*(x for i, t in enumerate(["email", "id_number", "phone", "address", "name"]) for x in (F.lit(t), F.lit(5 - i)))), F.col("pii_type"))
     spans = every.groupBy("source", "row_id").agg(F.collect_set(F.struct((-rank).alias("rank"), (-F.round("score", 3)).alias("score"), (F.col("start") - F.col("end")).alias("shorter"), "start", "end", "pii_type")).alias("spans"))

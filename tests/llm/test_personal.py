@@ -108,3 +108,12 @@ def test_helpers():
     assert shape_of("0034 900 550 480") == "0099 999 999 999" and shape_of("Y7704204W") == "A9999999A"
     assert _owner("owen.tarn") == ("sure", "owen", "tarn") and _owner("quillby78") == ("likely", "", "quillby")
     assert _street("last", "Old Mill Row") == "row" and _street("either", "Lindenweg") == "weg" and _street("either", "Row") == "bare row"
+
+
+def test_rare_names_in_lower_case_of_a_large_corpus(spark):
+    """Names that a large corpus has once or only in an address are looked for like any others."""
+    rows = [("t", f"n{i}", "Harbour Ledger " * 700) for i in range(150)]
+    rows += [("t", "e", "Write to zelda.fernwick@kontor.example, anna.delacroix@kontor.example"), ("t", "c", "Signed, Zelda Fernwick")]
+    rows += [("t", "ab", "ask zelda fernwick today"), ("t", "ba", "ask fernwick, zelda today"), ("t", "lead", "ask anna zelda fernwick today"), ("t", "part", "ask anna de la croix today"), ("t", "not", "ask zelda today")]
+    found = find_mentions(spark.createDataFrame(rows, "source string, row_id string, text string")).where("pii_type = 'name' and row_id in ('ab', 'ba', 'lead', 'part', 'not')")
+    assert {(r.row_id, r.start, r.end) for r in found.collect()} == {("ab", 4, 18), ("ba", 4, 19), ("lead", 4, 23), ("part", 4, 20)}
