@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagework.functions.text import entities, tokens
@@ -12,9 +14,9 @@ from passagework.operators.lexical import ranked, small
 NEXT_KEYS, CEILING, SATURATION = 3, 0.35, 3.0
 
 
-def chunk_entities(chunks: DataFrame) -> DataFrame:
-    """chunk_id, ord, name, key: entities of every passage; key is the name in lower case."""
-    return chunks.select("chunk_id", F.posexplode(entities(F.col("content"))).alias("ord", "name")).withColumn("key", F.lower("name"))
+def chunk_entities(chunks: DataFrame, named: Callable[[Column], Column] = entities) -> DataFrame:
+    """chunk_id, ord, name, key: entities of every passage, as ``named`` finds them; key is the name in lower case."""
+    return chunks.select("chunk_id", F.posexplode(named(F.col("content"))).alias("ord", "name")).withColumn("key", F.lower("name"))
 
 
 def nodes(found: DataFrame) -> DataFrame:

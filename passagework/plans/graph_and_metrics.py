@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.functions.text import category_of, document_type, parent_key, version_of
+from passagework.functions.text import category_of, document_type, parent_key, version_of, whole_entities
 from passagework.operators import dense, evaluation, graph
 from passagework.operators import lexical as lex
 from passagework.plans.retrieval import _BASE, _HYBRID, _STOP, GRAPH_SQL, chunks, graph_ranked, hybrid, questions
@@ -170,7 +170,7 @@ def ir_metrics_by_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("entity_aliases")
 def entity_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.aliases(found_entities(spark, sf_dir))
+    return graph.aliases(graph.chunk_entities(chunks(spark, sf_dir), whole_entities))
 
 
 @query(
