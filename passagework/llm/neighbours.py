@@ -8,6 +8,7 @@ the full vectors in double precision.
 
 Equal vectors are collapsed first: each distinct vector goes through the forest once with
 its smallest ids, which are the only copies that can be among anybody's k most similar.
+Further copies get the finished list of their class by a salted join.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagework.session import cut_lineage
+from passagework.session import cut_lineage, salted_lookup
 
 
 @dataclass(frozen=True)
@@ -230,7 +231,16 @@ def most_similar(vectors: DataFrame, k: int = 5, at_least: float | None = None,
     if at_least is not None:
         listed = listed.where(F.col("sim") >= at_least)
     ranked = listed.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "other"))).where(F.col("place") <= k)
-    return ranked.select("id", "other", F.col("sim").alias("similarity"), "place")
+    ranked = ranked.select("id", "other", F.col("sim").alias("similarity"), "place")
+    crowds = points.where(F.size("ids") > k).select("key", "ids", F.element_at("ids", -1).alias("id"))
+    if crowds.isEmpty():
+        return ranked
+    # the last of a class's k + 1 ids has k copies before it, so its list is that of every further copy
+    ranked = cut_lineage(ranked)
+    lists = ranked.join(crowds, "id").groupBy("key").agg(F.first("ids").alias("ids"), F.collect_list(F.struct("other", "similarity", "place")).alias("list"))
+    members = vectors.select("id", F.xxhash64("model", "v").alias("key")).distinct()
+    further = salted_lookup(members, lists, "key", "id").where(~F.array_contains("ids", F.col("id")))
+    return ranked.unionByName(further.select("id", F.inline("list")))
 
 
 def mutual_pairs(similar: DataFrame) -> DataFrame:

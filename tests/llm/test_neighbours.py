@@ -73,5 +73,12 @@ def test_copies_ties_and_lonely_vectors(spark):
     assert {(r.id_a, r.id_b) for r in pairs} == {("c00", "c01"), ("c00", "c02"), ("c00", "c03"), ("c01", "c02"), ("c01", "c03"), ("c02", "c03")}
 
 
+def test_every_copy_has_neighbours(spark):
+    rows = [(f"c{i:02d}", pack([1, 2]), None, "m", 2) for i in range(30)] + [("c29", pack([1, 2]), None, "m", 2), ("near", pack([1, 2.1]), None, "m", 2)]
+    got = most_similar(decode_vectors(frame(spark, rows)), 3, at_least=0.9).collect()
+    by = {i: [(r.other, r.similarity) for r in sorted((r for r in got if r.id == i), key=lambda r: r.place)] for i in {r.id for r in got}}
+    assert len(got) == 31 * 3 and all(by[f"c{i:02d}"] == [("c00", 1.0), ("c01", 1.0), ("c02", 1.0)] for i in range(3, 30))
+
+
 def test_no_vectors(spark):
     assert most_similar(decode_vectors(frame(spark, []))).count() == 0
