@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagework.functions.text import entities, tokens
+from passagework.functions.text import entities, tokens, whole_entities
 from passagework.operators.lexical import ranked, small
 
 #: A key is paired with so many following keys of its chunk; share and saturation of the boost.
@@ -75,3 +75,8 @@ def aliases(found: DataFrame, most: int = 6) -> DataFrame:
     pairs = words.select("at", F.posexplode("ws").alias("i", "word"), "ws").select("at", "word", F.posexplode("ws").alias("j", "alias")).where("word != alias")
     first = pairs.groupBy("word", "alias").agg(F.min(F.struct("at", "j")).alias("at"))
     return first.withColumn("place", F.row_number().over(Window.partitionBy("word").orderBy("at", "alias"))).where(F.col("place") <= most).select("word", "alias", "place")
+
+
+def question_aliases(chunks: DataFrame) -> DataFrame:
+    """word, alias, place: what questions are widened with, of the first twelve entities of every passage."""
+    return aliases(chunk_entities(chunks, lambda content: whole_entities(content, 12)))

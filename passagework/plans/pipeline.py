@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from passagework.operators import lexical as lex
 from passagework.operators import precision
+from passagework.operators.graph import question_aliases
 from passagework.operators.questions import expanded
 from passagework.plans.retrieval import chat_questions, chunks, questions
 from passagework.queries import query
@@ -26,7 +27,7 @@ def precision_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("expanded_questions")
 def expanded_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of every chat question, and what is added to them."""
-    return expanded(chat_questions(spark, sf_dir)).select("query_id", "term", F.round("weight", 6).alias("weight"), "origin", "place")
+    return expanded(chat_questions(spark, sf_dir), aliases=question_aliases(chunks(spark, sf_dir))).select("query_id", "term", F.round("weight", 6).alias("weight"), "origin", "place")
 
 
 @query("bm25_expanded")
@@ -34,7 +35,7 @@ def bm25_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 with widened questions, the additions capped."""
     rows = chunks(spark, sf_dir)
     stats = lex.term_stats(rows)
-    terms = expanded(questions(spark), vocabulary=stats).withColumn("typed", F.col("origin") == "typed")
+    terms = expanded(questions(spark), vocabulary=stats, aliases=question_aliases(rows)).withColumn("typed", F.col("origin") == "typed")
     return lex.ranked(lex.capped(lex.bm25(rows, terms)), 10).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 

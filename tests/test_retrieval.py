@@ -74,6 +74,13 @@ def test_expansion_frame(spark):
     assert {("fix", "typed"), ("pool", "correction"), ("repair", "synonym"), ("fix-pol", "compound")} <= got and ("other", "compound") not in got
 
 
+def test_expansion_by_entities(spark):
+    q = spark.createDataFrame([(1, "what of the gemera"), (2, "pool size"), (3, None)], "query_id int, question string")
+    aliases = graph.question_aliases(frame(spark, ["by Koenigsegg Gemera here", "a Gemera Hybrid too"]))
+    got = [(r.query_id, r.term) for r in sorted(expanded(q, aliases=aliases).where("origin = 'alias'").collect(), key=lambda r: r.place)]
+    assert got == [(1, "koenigsegg"), (1, "hybrid")]
+
+
 def test_graph(spark):
     found = graph.chunk_entities(frame(spark, ["Ann Lee met Bob Ray and Cid Poe.", "ANN LEE saw Bob Ray."]))
     assert {r.key: r.weight for r in graph.nodes(found).collect()}["bob ray"] == 2
