@@ -93,7 +93,7 @@ def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LIMITS = f"""
 WITH held AS (SELECT lower(trim(id, {_SPACES})) AS file, arg_max({{'s': chunk_size}}, updated_at).s AS size FROM files GROUP BY ALL),
-limits AS (SELECT file, coalesce(least(greatest(size, 200), 4000), 1200) AS size FROM held)
+limits AS (SELECT file, CASE WHEN size IS NULL THEN 1200 WHEN size < 200 THEN 200 WHEN size > 4000 THEN 4000 ELSE size END AS size FROM held WHERE file <> '')
 """
 
 

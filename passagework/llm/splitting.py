@@ -76,7 +76,8 @@ def limits_of_files(files: DataFrame) -> DataFrame:
     """file, size, overlap: the chunk settings of the version of each file that holds (latest updated_at),
     within the allowed range; null settings give the defaults."""
     held = files.select(norm_key(F.col("id")).alias("file"), F.struct("updated_at", "chunk_size", "chunk_overlap").alias("s")).where("file <> ''").groupBy("file").agg(F.max("s").alias("s"))
-    size = F.coalesce(F.least(F.greatest(F.col("s.chunk_size"), F.lit(SMALLEST)), F.lit(LARGEST)), F.lit(DEFAULT_SIZE))
+    # the default first: least and greatest skip nulls, so a null size would become the smallest one
+    size = F.least(F.greatest(F.coalesce(F.col("s.chunk_size"), F.lit(DEFAULT_SIZE)), F.lit(SMALLEST)), F.lit(LARGEST))
     return held.select("file", size.cast("int").alias("size"), F.col("s.chunk_overlap").cast("int").alias("overlap"))
 
 

@@ -41,3 +41,11 @@ def test_limits_of_files(spark):
     assert by["c"][1][1] == by["c"][0][2] - 100  # the default overlap, at most half the size
     assert by["k"][-1][2] == 300_000
     assert split_oversized(c.limit(0), f).count() == 0 and split_oversized(c, f.limit(0)).count() > 0
+
+
+def test_null_size_is_the_default_not_the_smallest(spark):
+    files = [("n", None, 10, T(2024, 2, 1)), ("n", 300, 10, T(2024, 1, 1)), ("z", 0, 0, T(2024, 1, 1))]
+    f = spark.createDataFrame(files, "id string, chunk_size int, chunk_overlap int, updated_at timestamp_ntz")
+    chunks = [(f"n{n}", "N ", "x" * n) for n in (200, 201, 1199, 1200, 1201)] + [("z200", "z", "x" * 200), ("z201", "z", "x" * 201)]
+    c = spark.createDataFrame(chunks, "id string, file_id string, content string")
+    assert {r.chunk_id for r in split_oversized(c, f).collect()} == {"n1201", "z201"}
