@@ -68,3 +68,18 @@ def salted_lookup(left: DataFrame, right: DataFrame, key: str, row_id: str, salt
     spread = left.withColumn("__salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
     copies = right.where(F.col(key).isNotNull()).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, [key, "__salt"], "left").drop("__salt")
+
+
+def spread_lookup(left: DataFrame, right: DataFrame, key: str, row_id: str, hot: int = 64, salts: int = 32) -> DataFrame:
+    """left LEFT JOIN right on ``key``, where ``right`` has one row per key and a few keys may hold much of ``left``.
+
+    The ``hot`` most frequent keys (so a list of fixed length) are salted: their rows are spread by row id over ``salts``
+    copies of their row of ``right``. All other keys are joined as they are, so nothing else is copied. Null keys match
+    nothing and are spread too.
+    """
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1000")
+    listed = [r[key] for r in counts.orderBy(F.desc("count"), key).limit(hot).collect()]
+    often = F.col(key).isin(listed) if listed else F.lit(False)
+    salt = F.when(often | F.col(key).isNull(), F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")).otherwise(0)
+    copies = right.where(F.col(key).isNotNull()).withColumn("__salt", F.explode(F.when(often, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return left.withColumn("__salt", salt).join(copies, [key, "__salt"], "left").drop("__salt")
