@@ -13,16 +13,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagework.functions.keys import is_blank, micros, norm_key, strip
-from passagework.session import cut_lineage, parallelism
+from passagework.session import cut_lineage, parallelism, spread_lookup
 
 #: Messages in a fragment at most, its repeated first message included.
 FRAGMENT_MESSAGES = 32
-#: Longest overlap that is looked for between two fragments.
-MAX_OVERLAP = 4
+#: Primes and bases of the two rolling hashes of a stretch of messages.
+ROLLING = ((2_147_483_647, 911_382_323), (2_147_483_629, 972_663_749))
 
 _FRAGMENTS = (
     "conversation string, fragment long, pos int, carried boolean, id string, speaker string, hash long, "
@@ -124,32 +124,54 @@ def fragments(rows: DataFrame, length: int = FRAGMENT_MESSAGES) -> DataFrame:
     return stretch.mapInPandas(_cut(length, tails, heads), _FRAGMENTS)
 
 
-def merge_fragments(messages: DataFrame, max_overlap: int = MAX_OVERLAP) -> DataFrame:
+def _power(base: int, exponent: str, prime: int) -> Column:
+    """base ** exponent modulo prime for exponents below 2^28, from tables for every seven bits of the exponent."""
+    out = "1L"
+    for bit in range(0, 28, 7):
+        table = ", ".join(f"{pow(base, i << bit, prime)}L" for i in range(128))
+        out = f"({out} * array({table})[shiftright({exponent}, {bit}) & 127]) % {prime}L"
+    return F.expr(out)
+
+
+def _stretches(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rolling hashes of all suffixes (conversation, from, overlap, code) and all prefixes (..., to, ...) of fragments: equal
+    stretches of messages have equal codes wherever they lie. One row per message, so the overlaps of a long
+    fragment aren't compared one by one."""
+    of_fragment = Window.partitionBy("conversation", "fragment")
+    so_far = of_fragment.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    at = F.col("__at")
+    rows = messages.withColumn("__at", F.col("pos").cast("int"))
+    for i, (prime, base) in enumerate(ROLLING):
+        rows = rows.withColumn(f"term{i}", F.pmod("hash", F.lit(prime)) * _power(base, "__at", prime) % prime)
+        rows = rows.withColumn(f"head{i}", F.sum(f"term{i}").over(so_far) % prime).withColumn(f"all{i}", F.sum(f"term{i}").over(of_fragment) % prime)
+    rows = rows.withColumn("n", F.count("*").over(of_fragment).cast("int"))
+    head = [F.col(f"head{i}") for i in range(len(ROLLING))]
+    tail = [
+        F.pmod(F.col(f"all{i}") - F.col(f"head{i}") + F.col(f"term{i}"), F.lit(prime)) * _power(pow(base, -1, prime), "__at", prime) % prime
+        for i, (prime, base) in enumerate(ROLLING)
+    ]
+    prefixes = rows.select("conversation", F.col("fragment").alias("to"), (at + 1).alias("overlap"), F.struct(*head).alias("code"))
+    suffixes = rows.select("conversation", F.col("fragment").alias("from"), (F.col("n") - at).alias("overlap"), F.struct(*(t.alias(f"head{i}") for i, t in enumerate(tail))).alias("code"))
+    return suffixes, prefixes
+
+
+def merge_fragments(messages: DataFrame) -> DataFrame:
     """Merges overlapping fragments along unambiguous paths.
 
     messages: conversation, fragment (unique over all conversations), pos (0, 1, ... within the
     fragment), hash. Result: one row per fragment with its ``offset`` (position of its pos 0 in the
     merged path), ``path`` (first fragment of its path), ``paths`` (paths of its conversation) and
     ``last`` (nothing follows it). A conversation with more than one path has a gap or an
-    ambiguous overlap. An overlap is the longest suffix, of at most ``max_overlap`` hashes, of
-    one fragment that is a prefix of another of the same conversation; if two fragments compete
-    for the same place, neither is merged there. Fragments that are equal as a whole count once
-    each and compete, so they are best removed first.
+    ambiguous overlap. An overlap is the longest suffix of one fragment that is a prefix of another of the
+    same conversation, of any length; if two fragments compete for the same place, neither is merged
+    there. Fragments that are equal as a whole count once each and compete, so they are best removed
+    first. Fragments whose overlaps form a ring have no beginning: each is a path of its own.
     """
-    size = F.max("pos") + 1
-    near = messages.groupBy("conversation", "fragment").agg(
-        size.cast("long").alias("n"),
-        F.array_sort(F.collect_list(F.when(F.col("pos") < max_overlap, F.struct("pos", "hash")))).alias("head"),
-    )
-    # the last hashes: bounded by max_overlap, so collected from the filtered rows only
-    ranked = messages.join(near.select("fragment", "n"), "fragment").where(F.col("pos") >= F.col("n") - max_overlap)
-    tails = ranked.groupBy("fragment").agg(F.array_sort(F.collect_list(F.struct("pos", "hash"))).alias("tail"))
-    ends = cut_lineage(near.join(tails, "fragment").select("conversation", "fragment", "n", F.col("head.hash").alias("head"), F.col("tail.hash").alias("tail")))
-    many = ends.groupBy("conversation").count().where("count > 1").select("conversation")
-    linked = ends.join(many, "conversation", "left_semi")
-    lengths = F.explode(F.sequence(F.lit(1), F.least(F.lit(max_overlap), F.size("head")))).alias("overlap")
-    prefixes = linked.select("conversation", F.col("fragment").alias("to"), "head", lengths).select("conversation", "to", "overlap", F.xxhash64(F.slice("head", F.lit(1), F.col("overlap"))).alias("code"))
-    suffixes = linked.select("conversation", F.col("fragment").alias("from"), "tail", lengths).select("conversation", "from", "overlap", F.xxhash64(F.slice("tail", -F.col("overlap"), F.col("overlap"))).alias("code"))
+    ends = cut_lineage(messages.groupBy("conversation", "fragment").agg((F.max("pos") + 1).cast("long").alias("n")))
+    # only conversations of several fragments have anything to merge; of the others nothing is hashed
+    many = ends.groupBy("conversation").count().where("count > 1")
+    most = many.agg(F.max("count")).first()[0] or 1
+    suffixes, prefixes = _stretches(messages.join(many.select("conversation"), "conversation", "left_semi"))
     pairs = suffixes.join(prefixes, ["conversation", "overlap", "code"]).where("from != to").groupBy("conversation", "from", "to").agg(F.max("overlap").alias("overlap"))
 
     def sole(df: DataFrame, side: str) -> DataFrame:
@@ -158,23 +180,22 @@ def merge_fragments(messages: DataFrame, max_overlap: int = MAX_OVERLAP) -> Data
         top = df.join(best, side).where("overlap = __best").drop("__best")
         return top.join(top.groupBy(side).count().where("count = 1").select(side), side, "left_semi")
 
-    edges = sole(sole(pairs, "from"), "to").select("from", "to", "overlap")
-    lengths_of = linked.select(F.col("fragment").alias("from"), "n")
+    edges = sole(sole(cut_lineage(pairs), "from"), "to").select("from", "to", "overlap")
+    lengths_of = ends.select(F.col("fragment").alias("from"), "n")
     step = cut_lineage(edges.join(lengths_of, "from").select(F.col("to").alias("fragment"), F.col("from").alias("up"), (F.col("n") - F.col("overlap")).alias("offset")))
     followed = step.select(F.col("up").alias("fragment"), F.lit(False).alias("last"))
-    # pointer doubling: after r rounds a pointer spans 2^r fragments; only linked fragments take part
-    while True:
+    # pointer doubling: after r rounds a pointer spans 2^r fragments, so what isn't at a beginning by then is in a ring
+    for _ in range((most - 1).bit_length() + 1):
         above = step.select(F.col("fragment").alias("up"), F.col("up").alias("__up"), F.col("offset").alias("__offset"))
-        jump = step.join(above, "up", "left")
-        if jump.where("__up is not null").limit(1).count() == 0:
+        jump = cut_lineage(step.join(above, "up", "left"))
+        if jump.where("__up is not null").isEmpty():
             break
         step = cut_lineage(jump.select("fragment", F.coalesce("__up", "up").alias("up"), (F.col("offset") + F.coalesce("__offset", F.lit(0))).alias("offset")))
-        if step.where("up = fragment").limit(1).count():  # a ring of overlaps has no beginning
-            step = cut_lineage(step.where("up != fragment"))
-    placed = ends.select("conversation", "fragment", "n").join(step, "fragment", "left").join(followed, "fragment", "left")
+    ring = step.join(step.select(F.col("fragment").alias("up")), "up", "left_semi").select("fragment")
+    placed = ends.join(step.join(ring, "fragment", "left_anti"), "fragment", "left").join(followed.withColumnRenamed("fragment", "__f"), F.col("fragment") == F.col("__f"), "left")
     placed = placed.select("conversation", "fragment", "n", F.coalesce("up", "fragment").alias("path"), F.coalesce("offset", F.lit(0)).alias("offset"), F.coalesce("last", F.lit(True)).alias("last"))
     paths = placed.groupBy("conversation").agg(F.sum((F.col("path") == F.col("fragment")).cast("int")).alias("paths"))
-    return placed.join(paths, "conversation")
+    return spread_lookup(placed, paths, "conversation", "fragment")
 
 
 def conversations(chat: DataFrame, length: int = FRAGMENT_MESSAGES) -> DataFrame:
@@ -200,7 +221,7 @@ def conversations(chat: DataFrame, length: int = FRAGMENT_MESSAGES) -> DataFrame
     turns = pieces.groupBy("fragment").agg(
         F.count_if(F.col("speaker") == F.col("next_speaker")).alias("repeats"), F.min_by("speaker", "pos").alias("first"), F.max_by("speaker", "pos").alias("final")
     )
-    judged = merged.join(turns, "fragment")
+    judged = cut_lineage(merged.join(turns, "fragment"))
     whole = (
         judged.groupBy("conversation")
         .agg(
@@ -213,18 +234,21 @@ def conversations(chat: DataFrame, length: int = FRAGMENT_MESSAGES) -> DataFrame
         .join(sound, "conversation")
         .select("conversation", "chat_id")
     )
-    # joined per fragment, of bounded length, so that a hot chat doesn't meet one task
-    kept = judged.join(whole, "conversation").select("fragment", "chat_id", "offset")
+    # joined per fragment, of bounded length, and a hot chat's fragments are spread over many tasks
+    kept = spread_lookup(judged, whole, "conversation", "fragment").where("chat_id is not null").select("fragment", "chat_id", "offset")
     numbered = pieces.where(~F.col("carried")).join(kept, "fragment")
     return numbered.select("chat_id", (F.col("offset") + F.col("pos")).cast("int").alias("msg_no"), "speaker", "id")
 
 
 def pair_rows(chat: DataFrame, length: int = FRAGMENT_MESSAGES) -> DataFrame:
-    """The reply to every user message: id (row of the user message), reply_id (row of the reply, or
+    """``replies`` of a table of message rows."""
+    return replies(cut_lineage(current_rows(chat).select("id", "conversation", "at", "has_user", "has_bot")), length)
+
+
+def replies(rows: DataFrame, length: int = FRAGMENT_MESSAGES) -> DataFrame:
+    """The reply to every user message of ``current_rows``: id (row of the user message), reply_id (row of the reply, or
     null). The reply is the next message of the conversation, kept or not, if that is of the
     assistant; for rows without time or chat it is the bot_response of the same row."""
-    rows = cut_lineage(current_rows(chat).select("id", "conversation", "at", "has_user", "has_bot"))
     ordered = fragments(rows, length).where("speaker = 'user' and not continues").select("id", F.when(F.col("next_speaker") == "assistant", F.col("next_id")).alias("reply_id"))
     alone = rows.where("has_user and (conversation is null or at is null)").select("id", F.when(F.col("has_bot"), F.col("id")).alias("reply_id"))
     return ordered.unionByName(alone)
-

@@ -1,5 +1,8 @@
 import datetime as dt
 import random
+import time
+
+import pytest
 
 from passagework.llm.conversations import conversations, merge_fragments, pair_rows
 
@@ -79,8 +82,23 @@ def test_gaps_and_ambiguous_overlaps_stay_apart(spark):
     assert {v[2] for v in merged(spark, {1: [1, 2], 2: [2, 3], 3: [2, 4]}).values()} == {3}
 
 
-def test_ring_has_no_beginning(spark):
-    assert merged(spark, {1: [1, 2], 2: [2, 1]})[1][2] != 1
+@pytest.mark.parametrize("n", [2, 3, 5, 6])
+def test_rings_have_no_beginning_and_end_soon(spark, n):
+    ring = {i: [10 * i, 10 * ((i + 1) % n)] for i in range(n)}
+    start = time.monotonic()
+    got = merged(spark, {**ring, 100: [7000, 7001], 101: [7001, 7002]})
+    assert all(got[i][:2] == (i, 0) for i in range(n)) and got[101][:2] == (100, 1) and got[0][2] == n + 1
+    assert time.monotonic() - start < 60
+
+
+def test_overlaps_of_any_length(spark):
+    long = list(range(1000, 1300))
+    got = merged(spark, {1: [1, 2, 3, 4, 5, 6], 2: [2, 3, 4, 5, 6, 7], 3: [6, 7, *long], 4: [*long[5:], 9]})
+    assert got == {1: (1, 0, 1), 2: (1, 1, 1), 3: (1, 5, 1), 4: (1, 12, 1)}
+
+
+def test_repeated_messages_are_no_ambiguity(spark):
+    assert merged(spark, {1: [9, 5, 5, 6, 5], 2: [6, 5, 7], 3: [7, 5, 5]}) == {1: (1, 0, 1), 2: (1, 3, 1), 3: (1, 5, 1)}
 
 
 def test_random_windows_of_a_sequence(spark):
@@ -91,5 +109,5 @@ def test_random_windows_of_a_sequence(spark):
         starts.append(i)
         i += rnd.randrange(5, 9)
     fragments = {n: sequence[s : s + 11] for n, s in enumerate(starts)}
-    got = merged(spark, fragments, max_overlap=8)
+    got = merged(spark, fragments)
     assert all(got[n] == (0, s, 1) for n, s in enumerate(starts))
