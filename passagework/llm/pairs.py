@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagework.functions.keys import is_blank
-from passagework.llm.conversations import current_rows, pair_rows
+from passagework.llm.conversations import current_rows, replies
 from passagework.session import cut_lineage
 
 #: Function words and other everyday words that tell languages apart.
@@ -58,30 +58,35 @@ AROUND = re.compile(
     re.I,
 )
 
-_LAST = {"mark": r"^\s*(?:[-*•]|\d+[.)])\s*$", "item": r"^\s*[-*•]\s", "number": r"^\s*\d+[.)]\s", "field": r"^[^.!?:]{1,60}: ?[^.!?:]{0,24}$", "table": r"\|"}
-_KINDS = [(k, re.compile(p)) for k, p in _LAST.items()]
+_MARK, _FIELD = re.compile(r"\s*(?:[-*•]|(\d+[.)]))"), re.compile(r"[^.!?:]{1,60}: ?[^.!?:]{0,24}")
+_OPENING, _INNER_WORD_END = {"“": "”", "(": ")", "[": "]"}, re.compile(r"\S(?=\s)")
 _SENTENCE_END = re.compile(r"[.!?…。！？][\"'”»)\]]*(?=\s|$)|(?<=[。！？])")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _SCRIPTS = [(k, re.compile(p)) for k, p in SCRIPTS]
-_LEXICON = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+_LEXICON: dict[str, list[str]] = {}
+for _language, _listed in FUNCTION_WORDS.items():
+    for _w in dict.fromkeys(_listed.split()):
+        _LEXICON.setdefault(_w, []).append(_language)
 _SPECIAL = re.compile(r"[ñ¿¡]|[äöüß]|[êèçœùàâî]", re.I)
 
 
 def language_scores(text: str) -> Counter:
     """Weight of each language in a text: function words that not all languages share, letters, scripts."""
     scores: Counter = Counter()
-    for name, script in _SCRIPTS:
-        n = len(script.findall(text))
-        if n:
-            scores[name] += n / 2
-    for word in _WORD.findall(text.lower()):
+    low = text.lower()
+    for word, n in Counter(_WORD.findall(low)).items():
         for part in (word, *(word.split("'", 1) if "'" in word else ())):
-            hits = [k for k, words in _LEXICON.items() if part in words]
+            hits = _LEXICON.get(part, ())
             for k in hits:
-                scores[k] += 1 / len(hits) ** 2
-        for c in _SPECIAL.findall(word):
+                scores[k] += n / len(hits) ** 2
+    if not text.isascii():
+        for name, script in _SCRIPTS:
+            n = len(script.findall(text))
+            if n:
+                scores[name] += n / 2
+        for c in _SPECIAL.findall("".join(_WORD.findall(low))):
             scores["es" if c in "ñ" else "de" if c in "äöüß" else "fr"] += 0.3
-    scores["es"] += 2 * len(re.findall("[¿¡]", text))
+        scores["es"] += 2 * len(re.findall("[¿¡]", text))
     return scores
 
 
@@ -136,15 +141,42 @@ def is_copy(prompt: str, reply: str) -> bool:
     return bool(rest) and len(lead.split()) <= 3 and not any(x.strip() for x in rest)
 
 
+def contexts(line: str, cuts: list[int], fences: int) -> Iterator[tuple[str, str]]:
+    """(kind of the line, last sign) of a text that stops in its last line at each of the ``cuts`` (rising, each behind a
+    sign that isn't white space); ``open`` if something is still to be closed. ``fences``: code fences before the line.
+    The line is read once, whatever the number of cuts."""
+    begin = _MARK.match(line)
+    bar = line.find("|") % (len(line) + 1)
+    ticks = [m.end() for m in re.finditer("```", line)] if "```" in line else []
+    pairs = [(a, b) for a, b in _OPENING.items() if a in line]
+    ahead, passed, at = [0] * len(pairs), 0, 0
+    for cut in cuts:
+        for i, (a, b) in enumerate(pairs):
+            ahead[i] += line.count(a, at, cut) - line.count(b, at, cut)
+        while passed < len(ticks) and ticks[passed] <= cut:
+            passed += 1
+        at = cut
+        if (fences + passed) % 2 or any(n > 0 for n in ahead):
+            yield "open", ""
+            continue
+        if line.endswith("```", 0, cut):
+            kind = "fence"
+        elif begin and begin.end() == cut:
+            kind = "mark"
+        elif begin and begin.end() < cut and line[begin.end()].isspace():
+            kind = "number" if begin[1] else "item"
+        elif cut <= 90 and _FIELD.fullmatch(line, 0, cut):
+            kind = "field"
+        else:
+            kind = "table" if bar < cut else "prose"
+        last = line[cut - 1 : cut]
+        yield kind, "a" if last.isalpha() else "9" if last.isdigit() else last
+
+
 def context(text: str) -> tuple[str, str]:
-    """(kind of the last line, last sign) of a text that stops here; ``open`` if something is still to be closed."""
-    line = text[text.rfind("\n") + 1 :]
-    fences = text.count("```")
-    if fences % 2 or line.count("“") > line.count("”") or line.count("(") > line.count(")") or line.count("[") > line.count("]"):
-        return "open", ""
-    kind = "fence" if line.rstrip().endswith("```") else next((k for k, p in _KINDS if p.search(line)), "prose")
-    last = text.rstrip()[-1:]
-    return kind, "a" if last.isalpha() else "9" if last.isdigit() else last
+    """The context in which a whole text stops."""
+    *before, line = text.rstrip().split("\n")
+    return next(contexts(line, [len(line)], sum(x.count("```") for x in before)))
 
 
 def _observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,21 +185,18 @@ def _observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for text in batch["reply"]:
             lines = text.rstrip().split("\n")
+            fences = 0
             for i, line in enumerate(lines):
-                if not line.strip():
-                    continue
-                before = "\n".join(lines[:i]) + "\n" if i else ""
-                whole = line.rstrip()
-                if i + 1 < len(lines):
-                    seen[(*context(before + whole), True)] += 1
-                ends = {m.end() for m in _SENTENCE_END.finditer(whole)}
-                for at in sorted(ends)[: -1 if i + 1 == len(lines) else None]:
-                    if at < len(whole):
-                        where = context(before + whole[:at])
-                        seen[(*where, where[0] != "mark")] += 1  # the sign of a list item ends nothing
-                for m in re.finditer(r"\S(?=\s)", whole):
-                    if m.end() not in ends:
-                        seen[(*context(before + whole[: m.end()]), False)] += 1
+                whole, final = line.rstrip(), i + 1 == len(lines)
+                if whole:
+                    ends = {m.end() for m in _SENTENCE_END.finditer(whole)}
+                    words = {m.end() for m in _INNER_WORD_END.finditer(whole)}
+                    skipped = max(ends, default=0) if final else -1  # the last one of a text may be a cut
+                    cuts = sorted((ends | words | ({len(whole)} if not final else set())) - {skipped})
+                    for cut, where in zip(cuts, contexts(whole, cuts, fences), strict=True):
+                        ended = cut == len(whole) or (cut in ends and where[0] != "mark")  # the sign of a list item ends nothing
+                        seen[(*where, ended)] += 1
+                fences += line.count("```")
     yield pd.DataFrame([(k, s, e, n) for (k, s, e), n in seen.items()], columns=["kind", "sign", "ends", "n"])
 
 
@@ -190,10 +219,10 @@ def is_truncated(reply: str, model: dict[tuple[str, str], float], least: float =
 
 def defects(chat: DataFrame) -> DataFrame:
     """id, defect of every defective pair: ``empty``, ``copy``, ``refusal``, ``truncated`` or ``other_language``, the first
-    that holds. Pairs are those of ``pair_rows``. Very long texts are looked at as a whole; a pair that occurs in
+    that holds. Pairs are those of ``replies``. Very long texts are looked at as a whole; a pair that occurs in
     several states or copies of a row counts once. No rows give no defects."""
-    texts = cut_lineage(current_rows(chat).where("id is not null").select("id", "user_query", "bot_response"))
-    pairs = pair_rows(chat).where("id is not null")
+    rows = cut_lineage(current_rows(chat).select("id", "conversation", "at", "has_user", "has_bot", "user_query", "bot_response"))
+    texts, pairs = rows.where("id is not null"), replies(rows).where("id is not null")
     asked = pairs.join(texts.select("id", F.col("user_query").alias("prompt")), "id")
     both = cut_lineage(asked.join(texts.select(F.col("id").alias("reply_id"), F.col("bot_response").alias("reply")), "reply_id", "left").select("id", "prompt", "reply"))
     answered = both.where(~is_blank(F.col("reply")))

@@ -1,8 +1,11 @@
 import datetime as dt
+import re
+import time
 
+import pandas as pd
 import pytest
 
-from passagework.llm.pairs import context, defects, is_copy, is_other_language, is_refusal, is_truncated, main_language
+from passagework.llm.pairs import _observe, context, contexts, defects, is_copy, is_other_language, is_refusal, is_truncated, main_language
 
 Q = "Why was the contract changed in version 17?"
 
@@ -50,6 +53,20 @@ def test_contexts():
     assert context("x [1") == ("open", "") and context("- one") == ("item", "a") and context("One.") == ("prose", ".")
 
 
+def test_contexts_of_many_cuts_are_those_of_each():
+    text = "- “One (two” [x]) a | b. c: d ``` 1. e. f"
+    cuts = [m.end() for m in re.finditer(r"\S(?=\s|$)", text)]
+    assert list(contexts(text, cuts, 0)) == [context(text[:c]) for c in cuts]
+
+
+def test_long_replies_take_linear_time():
+    reply = "word other (one) and, more. " * 20_000  # 100,000 words
+    start = time.monotonic()
+    seen = next(_observe(iter([pd.DataFrame({"reply": [reply]})])))
+    assert is_truncated(reply, MODEL) in (True, False) and not is_refusal(reply) and not is_copy(Q, reply) and not is_other_language(Q, reply)
+    assert time.monotonic() - start < 2 and seen["n"].sum() == 99_999
+
+
 def test_defects_of_a_table(spark):
     t = dt.datetime(2024, 1, 1)
     good = [(f"g{i}", f"c{i}", f"Is the valve {w} open?", "u", f"The valve {w} is open every week. Keep it dry.\n- {w}\n- valve", None, t) for i, w in enumerate("one two three four five six".split() * 5)]
