@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from passagework.session import cut_lineage, parallelism
+
 CUTS = (1, 5, 10)
 
 
@@ -52,7 +54,19 @@ def per_query_groups(results: DataFrame, groups: DataFrame, cuts: tuple[int, ...
 
 
 def nearest_rank(values: DataFrame, column: str, fraction: float, *by: str) -> DataFrame:
-    """The value at position round-half-even(fraction * (n - 1)) of the sorted values."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    numbered = values.withColumn("__i", F.row_number().over(w.orderBy(column)) - 1).withColumn("__n", F.count("*").over(w))
-    return numbered.where(F.col("__i") == F.bround(F.lit(fraction) * (F.col("__n") - 1)).cast("int")).select(*by, F.col(column).alias("value"))
+    """by, value: the value at position round-half-even(fraction * (n - 1)) of the sorted values of a group; nulls don't count.
+
+    Values are range-partitioned; counts per partition tell which partition holds a group's position, and only inside it
+    rows are numbered. So a group that holds most rows is spread over all tasks.
+    """
+    n = parallelism(values.sparkSession)
+    rows = values.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("value")).groupBy(*by, "value").agg(F.count("*").alias("n"))
+    placed = cut_lineage(rows.repartitionByRange(n, *by, "value").withColumn("__part", F.spark_partition_id()))
+    parts = placed.groupBy(*by, "__part").agg(F.sum("n").alias("m"))
+    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))  # at most one row per partition and group
+    ahead = F.coalesce(F.sum("m").over(w.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spot = F.bround(F.lit(fraction) * (F.sum("m").over(w) - 1)).cast("long")
+    where = parts.select(*by, "__part", "m", ahead.alias("__ahead"), spot.alias("__spot")).where("__spot >= __ahead and __spot < __ahead + m").drop("m")
+    inner = Window.partitionBy(*by, "__part").orderBy("value")
+    found = placed.join(where, [*by, "__part"]).withColumn("__to", F.col("__ahead") + F.sum("n").over(inner))
+    return found.where("__spot < __to and __spot >= __to - n").select(*by, "value")

@@ -27,9 +27,10 @@ def small(df: DataFrame, most: int = MOST_TERMS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def chunks_of(df: DataFrame) -> DataFrame:
-    """Passages with the columns the operators here use; repeated rows count once."""
-    return df.dropDuplicates(["id"]).select(
+def chunks_of(df: DataFrame, distinct: bool = True) -> DataFrame:
+    """Passages with the columns the operators here use; repeated rows count once. Without ``distinct`` repeated rows stay: the
+    operators of this module drop them after the scan, so that no text goes through a shuffle."""
+    return (df.dropDuplicates(["id"]) if distinct else df).select(
         F.col("id").alias("chunk_id"), "resource_id", "file_id", "chunk_index", "source_name", "modality", "title", "content", F.col("contextual_content").alias("contextual"), "page_start", "page_end"
     )
 
@@ -39,27 +40,33 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return questions.select("query_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def postings(chunks: DataFrame, terms: DataFrame | None = None, length: bool = False) -> DataFrame:
-    """chunk_id, term, tf (and ``length``, the number of tokens of the passage); with ``terms`` only for these.
+def found_terms(chunks: DataFrame, terms: DataFrame | None, *columns: str) -> DataFrame:
+    """chunk_id, columns, length (number of tokens), term: a row per token, with ``terms`` only for these (query terms).
 
-    A few asked terms are filtered inside the token array, so the other tokens never become rows."""
+    A few asked terms are filtered inside the token array, so the other tokens never become rows. Repeated rows of a passage
+    are dropped here, when only tokens are left."""
     words = tokens(F.col("contextual"))
-    extra = [F.size(words).alias("length")] if length else []
-    if terms is None:
-        rows = chunks.select("chunk_id", *extra, F.explode(words).alias("term"))
-    else:
+    many, kept = None, words
+    if terms is not None:
         asked = terms.select("term").distinct()
         listed = [r["term"] for r in asked.limit(LISTED_TERMS + 1).collect()]
-        if len(listed) <= LISTED_TERMS:
-            rows = chunks.select("chunk_id", *extra, F.explode(F.filter(words, lambda t: t.isin(listed) if listed else F.lit(False))).alias("term"))
+        if len(listed) > LISTED_TERMS:
+            many = asked
         else:
-            rows = chunks.select("chunk_id", *extra, F.explode(words).alias("term")).join(small(asked), "term", "left_semi")
-    return rows.groupBy("chunk_id", *(["length"] if length else []), "term").agg(F.count("*").alias("tf"))
+            kept = F.filter(words, lambda t: t.isin(*listed)) if listed else F.array().cast("array<string>")
+    rows = chunks.select("chunk_id", *columns, F.size(words).alias("length"), kept.alias("__found")).where(F.size("__found") > 0).dropDuplicates(["chunk_id"])
+    rows = rows.select("chunk_id", *columns, "length", F.explode("__found").alias("term"))
+    return rows.join(small(many), "term", "left_semi") if many is not None else rows
+
+
+def postings(chunks: DataFrame, terms: DataFrame | None = None, length: bool = False) -> DataFrame:
+    """chunk_id, term, tf (and ``length``, the number of tokens of the passage); with ``terms`` only for these."""
+    return found_terms(chunks, terms).groupBy("chunk_id", *(["length"] if length else []), "term").agg(F.count("*").alias("tf"))
 
 
 def term_stats(chunks: DataFrame) -> DataFrame:
     """term, df, cf, idf over all passages."""
-    n = chunks.count()
+    n = chunks.select("chunk_id").distinct().count()
     return postings(chunks).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).withColumn("idf", idf(F.col("df"), F.lit(n)))
 
 
@@ -68,7 +75,8 @@ def idf(df: Column, n: Column) -> Column:
 
 
 def lengths(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk_id", F.size(tokens(F.col("contextual"))).alias("length"))
+    """chunk_id, length: number of tokens of every passage, each once."""
+    return chunks.select("chunk_id", F.size(tokens(F.col("contextual"))).alias("length")).dropDuplicates(["chunk_id"])
 
 
 def corpus_size(chunks: DataFrame) -> tuple[int, float]:
@@ -100,9 +108,11 @@ def bm25(chunks: DataFrame, terms: DataFrame, k1: float = K1, b: float = B) -> D
 def capped(scores: DataFrame, fraction: float = 0.35) -> DataFrame:
     """query_id, chunk_id, score: the expanded half counts up to a fraction of the best typed half of the question
     (without limit if nothing typed was found)."""
-    best = F.max("typed").over(Window.partitionBy("query_id"))
-    half = F.when(best > 0, F.least(F.col("expanded"), best * fraction)).otherwise(F.col("expanded"))
-    return scores.select("query_id", "chunk_id", (F.col("typed") + half).alias("score")).where("score > 0")
+    rows = cut_lineage(scores)
+    # aggregated before the shuffle and joined back: a window would put all passages of a question in one task
+    best = rows.groupBy("query_id").agg(F.max("typed").alias("best"))
+    half = F.when(F.col("best") > 0, F.least(F.col("expanded"), F.col("best") * fraction)).otherwise(F.col("expanded"))
+    return rows.join(small(best), "query_id").select("query_id", "chunk_id", (F.col("typed") + half).alias("score")).where("score > 0")
 
 
 def ranked(scores: DataFrame, k: int, *ties: str, by: tuple[str, ...] = ("query_id",), digits: int = 9) -> DataFrame:
@@ -118,19 +128,20 @@ def lexical(chunks: DataFrame, questions: DataFrame, counted: bool = True, boost
     ``boost``: kinds of content that the question asks for count more."""
     terms = question_terms(questions)
     many = terms.groupBy("query_id").agg(F.count("*").alias("wanted"), F.collect_set("term").alias("asked"))
-    hits = (
-        postings(chunks, terms)
-        .join(small(terms), "term")
-        .groupBy("query_id", "chunk_id")
-        .agg(F.sum(F.col("tf") * (F.col("qtf") if counted else F.lit(1))).alias("product"), F.collect_set("term").alias("common"))
-    )
-    rows = hits.join(chunks.select("chunk_id", "chunk_index", "title", "modality", "contextual"), "chunk_id").join(small(questions.join(many, "query_id")), "query_id")
+    features = ["chunk_id", "chunk_index", "title", "modality", "length"]
+    found = found_terms(chunks, terms, "chunk_index", "title", "modality").groupBy(*features, "term").agg(F.count("*").alias("tf"))
+    hits = found.join(small(terms), "term").groupBy("query_id", *features).agg(F.sum(F.col("tf") * (F.col("qtf") if counted else F.lit(1))).alias("product"), F.collect_set("term").alias("common"))
+    rows = cut_lineage(hits.join(small(questions.join(many, "query_id")), "query_id"))
+    # only a passage with all inner terms of a question can hold it as a whole, so few texts are looked at
     overlap = F.size("common")
+    likely = rows.where(overlap >= F.col("wanted") - 2).select("query_id", "chunk_id", "question")
+    whole = likely.join(chunks.select("chunk_id", "contextual"), "chunk_id").where(F.contains(F.lower("contextual"), F.lower("question"))).select("query_id", "chunk_id").distinct()
+    rows = rows.join(whole.withColumn("whole", F.lit(True)), ["query_id", "chunk_id"], "left")
     title = F.lower(F.coalesce("title", F.lit("")))
     score = (
-        F.col("product") / F.sqrt(F.greatest(F.size(tokens(F.col("contextual"))), F.lit(1)))
+        F.col("product") / F.sqrt(F.greatest(F.col("length"), F.lit(1)))
         + COVERAGE * overlap / F.col("wanted")
-        + F.when(F.contains(F.lower(F.coalesce("contextual", F.lit(""))), F.lower("question")), EXACT).otherwise(0.0)
+        + F.when(F.col("whole"), EXACT).otherwise(0.0)
         + F.when(F.exists("common", lambda t: F.contains(title, t)), TITLE).otherwise(0.0)
     )
     if boost:
@@ -206,7 +217,7 @@ def spelling(terms: DataFrame, stats: DataFrame, shortest: int = 5) -> DataFrame
 def feedback_terms(chunks: DataFrame, results: DataFrame, questions: DataFrame, docs: int = 5, most: int = 6, shortest: int = 3) -> DataFrame:
     """query_id, term, weight, place: terms of the first results that tell them apart from the corpus
     (frequency within the passage times idf), without the question's own terms."""
-    n = chunks.count()
+    n = chunks.select("chunk_id").distinct().count()
     first = results.where(F.col("rank") <= docs).select("query_id", "chunk_id")
     texts = chunks.join(first.select("chunk_id").distinct(), "chunk_id", "left_semi")
     inside = cut_lineage(postings(texts, length=True).where(F.char_length("term") >= shortest).join(first, "chunk_id"))

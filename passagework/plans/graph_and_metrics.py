@@ -159,7 +159,7 @@ def ir_metrics_by_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     terms = lex.question_terms(questions(spark)).select("query_id", "term")
     inside = chunks(spark, sf_dir).select(F.col("chunk_id").alias("item"), F.explode(F.array_distinct(lex.tokens(F.col("content")))).alias("term"))
-    rel = inside.join(F.broadcast(terms), "term").groupBy("query_id", "item").count().where("count >= 3").select("query_id", "item")
+    rel = inside.join(lex.small(terms), "term").groupBy("query_id", "item").count().where("count >= 3").select("query_id", "item")
     variants = {"lexical": hybrid(spark, sf_dir, 10), "bm25": bm25_ranked(spark, sf_dir, 10)}
     rows = None
     for name, found in variants.items():

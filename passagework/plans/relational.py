@@ -200,7 +200,7 @@ def file_modalities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.groupBy(modality_of(F.col("file_name"), F.col("file_type")).alias("modality")).agg(F.count("*").alias("n"), F.count_if(safe_name(F.col("file_name")) == F.col("file_name")).alias("n_safe"))
 
 
-_KIND = " ".join(f"WHEN NOT regexp_matches(q, '[0-9]') AND length(p) <= 40 AND p IN ({', '.join(repr(x) for x in texts.split('|'))}) THEN '{name}'" for name, texts in SMALL_TALK.items())
+_KIND = " ".join(f"WHEN NOT regexp_matches(q, '[0-9]') AND length(p) <= 40 AND p IN ({', '.join(repr(x) for x in texts)}) THEN '{name}'" for name, texts in SMALL_TALK.items())
 _LEFT = "list_filter(string_split(p, ' '), lambda w: w <> '' AND NOT list_contains([{}], w))".format(", ".join(f"'{w}'" for w in [*STOPWORDS, *FILLERS]))
 
 

@@ -11,7 +11,7 @@ from passagework.functions.text import STOPWORDS, best_sentence, tokens
 from passagework.operators import graph
 from passagework.operators import lexical as lex
 from passagework.queries import query
-from passagework.session import read_table
+from passagework.session import cut_lineage, read_table
 
 #: The questions the ranking queries are run with; each is scored against all passages.
 QUESTIONS = (
@@ -32,6 +32,11 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lex.chunks_of(read_table(spark, sf_dir, "document_chunks"))
 
 
+def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages as they are stored, repeated rows too; for operators that drop these after the scan."""
+    return lex.chunks_of(read_table(spark, sf_dir, "document_chunks"), distinct=False)
+
+
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 
 
@@ -77,23 +82,23 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     terms = lex.question_terms(questions(spark)).select("query_id", "term", F.lit(1.0).alias("weight"), F.lit(True).alias("typed"))
-    scores = lex.bm25(chunks(spark, sf_dir), terms).select("query_id", "chunk_id", F.col("typed").alias("score")).where("score > 0")
+    scores = lex.bm25(scanned(spark, sf_dir), terms).select("query_id", "chunk_id", F.col("typed").alias("score")).where("score > 0")
     return lex.ranked(scores, k)
 
 
 @query("term_stats", _BASE + " SELECT term, df, cf, round(idf, 6) AS idf FROM stats")
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lex.term_stats(chunks(spark, sf_dir)).withColumn("idf", F.round("idf", 6))
+    return lex.term_stats(scanned(spark, sf_dir)).withColumn("idf", F.round("idf", 6))
 
 
 @query("corpus_stats", _BASE + " SELECT count(*) AS n_chunks, round(avg(length), 6) AS mean_length, max(length) AS longest, CAST(count_if(length = 0) AS BIGINT) AS empty FROM len")
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    length = lex.lengths(chunks(spark, sf_dir))
+    length = lex.lengths(scanned(spark, sf_dir))
     return length.agg(F.count("*").alias("n_chunks"), F.round(F.avg("length"), 6).alias("mean_length"), F.max("length").cast("long").alias("longest"), F.count_if(F.col("length") == 0).alias("empty"))
 
 
 def hybrid(spark: SparkSession, sf_dir: str, k: int, qs: DataFrame | None = None, **kw: bool) -> DataFrame:
-    return lex.ranked(lex.lexical(chunks(spark, sf_dir), qs if qs is not None else questions(spark), **kw), k, "chunk_index", "chunk_id")
+    return lex.ranked(lex.lexical(scanned(spark, sf_dir), qs if qs is not None else questions(spark), **kw), k, "chunk_index", "chunk_id")
 
 
 @query("lexical_hybrid", _BASE + "," + _HYBRID + " SELECT query_id, chunk_id, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM hy_r WHERE rank <= 5")
@@ -152,7 +157,7 @@ def _cover_sql(top: int) -> str:
 
 @query("evidence_gate", _BASE + "," + _HYBRID + "," + _cover_sql(3) + " SELECT query_id, round(best, 6) AS best, round(covered, 6) AS covered, covered >= 0.35 AND best > 0 AS sufficient FROM cov")
 def evidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cover = lex.sufficient(lex.coverage(chunks(spark, sf_dir), questions(spark), hybrid(spark, sf_dir, 5), 3))
+    cover = lex.sufficient(lex.coverage(scanned(spark, sf_dir), questions(spark), hybrid(spark, sf_dir, 5), 3))
     return cover.select("query_id", F.round("best", 6).alias("best"), F.round("covered", 6).alias("covered"), "sufficient")
 
 
@@ -161,17 +166,18 @@ def evidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     _BASE + "," + _HYBRID + "," + _cover_sql(5) + " SELECT query_id, round(covered, 6) AS covered, CASE WHEN covered >= 0.65 AND best >= 1 THEN 'strong' WHEN covered >= 0.35 THEN 'moderate' ELSE 'weak' END AS grade FROM cov",
 )
 def evidence_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cover = lex.graded(lex.coverage(chunks(spark, sf_dir), questions(spark), hybrid(spark, sf_dir, 5), 5))
+    cover = lex.graded(lex.coverage(scanned(spark, sf_dir), questions(spark), hybrid(spark, sf_dir, 5), 5))
     return cover.select("query_id", F.round("covered", 6).alias("covered"), "grade")
 
 
-def corrective(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lexical list where it covers the question, the fused one elsewhere."""
-    first = hybrid(spark, sf_dir, 5)
-    gate = lex.sufficient(lex.coverage(chunks(spark, sf_dir), questions(spark), first, 3)).select("query_id", "sufficient")
+def corrective(spark: SparkSession, sf_dir: str, first: DataFrame | None = None, fused: DataFrame | None = None) -> DataFrame:
+    """The lexical list where it covers the question, the fused one elsewhere; both are given or made here."""
+    first = hybrid(spark, sf_dir, 5) if first is None else first
+    fused = fusion(spark, sf_dir, 5) if fused is None else fused
+    gate = lex.sufficient(lex.coverage(scanned(spark, sf_dir), questions(spark), first, 3)).select("query_id", "sufficient")
     cols = ["query_id", "chunk_id", "rank", "score"]
     good = first.join(gate.where("sufficient"), "query_id").select(*cols, F.lit("lexical").alias("path"))
-    return good.unionByName(fusion(spark, sf_dir, 5).join(gate.where("not sufficient"), "query_id").select(*cols, F.lit("fusion").alias("path")))
+    return good.unionByName(fused.join(gate.where("not sufficient"), "query_id").select(*cols, F.lit("fusion").alias("path")))
 
 
 @query(
@@ -194,7 +200,7 @@ def chat_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("vocabulary_gap", _BASE + _GAP + " SELECT query_id, term, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pos) AS INT) AS place FROM asked ANTI JOIN stats USING (term) QUALIFY place <= 6")
 def vocabulary_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lex.vocabulary_gap(chat_questions(spark, sf_dir), chunks(spark, sf_dir))
+    return lex.vocabulary_gap(chat_questions(spark, sf_dir), scanned(spark, sf_dir))
 
 
 @query(
@@ -205,7 +211,7 @@ def vocabulary_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = chat_questions(spark, sf_dir).select(F.explode(tokens(F.col("question"))).alias("term"))
-    return lex.spelling(asked, lex.term_stats(chunks(spark, sf_dir)))
+    return lex.spelling(asked, lex.term_stats(scanned(spark, sf_dir)))
 
 
 @query(
@@ -216,7 +222,7 @@ def spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT query_id, term, round(weight, 6) AS weight, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(weight, 9) DESC, term) AS INT) AS place FROM fb WHERE weight > 0 QUALIFY place <= 6""",
 )
 def prf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lex.feedback_terms(chunks(spark, sf_dir), bm25_ranked(spark, sf_dir, 5), questions(spark))
+    found = lex.feedback_terms(scanned(spark, sf_dir), bm25_ranked(spark, sf_dir, 5), questions(spark))
     return found.withColumn("weight", F.round("weight", 6))
 
 
@@ -228,7 +234,7 @@ def prf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = hybrid(spark, sf_dir, 5).select("query_id", "chunk_id", "rank", "score")
     texts = chunks(spark, sf_dir).select("chunk_id", "source_name", "page_start", F.substring("content", 1, 300).alias("snippet"))
-    return texts.join(F.broadcast(first), "chunk_id").select("query_id", "rank", "chunk_id", "source_name", "page_start", F.round("score", 4).alias("score"), "snippet")
+    return texts.join(lex.small(first), "chunk_id").select("query_id", "rank", "chunk_id", "source_name", "page_start", F.round("score", 4).alias("score"), "snippet")
 
 
 @query("extractive_answer")
@@ -236,7 +242,7 @@ def extractive_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, answer: the best sentence of each of the first results, as a list."""
     first = hybrid(spark, sf_dir, 5).select("query_id", "chunk_id", "rank")
     asked = questions(spark).select("query_id", F.array_distinct(tokens(F.col("question"))).alias("terms"))
-    rows = chunks(spark, sf_dir).join(F.broadcast(first), "chunk_id").join(F.broadcast(asked), "query_id")
+    rows = chunks(spark, sf_dir).join(lex.small(first), "chunk_id").join(lex.small(asked), "query_id")
     lines = rows.select("query_id", F.struct("rank", best_sentence(F.col("content"), F.col("terms")).alias("s"), F.substring("content", 1, 260).alias("more")).alias("line"))
     listed = lines.groupBy("query_id").agg(F.array_sort(F.collect_list("line")).alias("lines"))
     again = F.transform("lines", lambda x, i: F.when(F.exists(F.slice("lines", F.lit(1), i), lambda y: y["s"] == x["s"]), x["more"]).otherwise(x["s"]))
@@ -255,10 +261,10 @@ boosted AS (SELECT coalesce(b.query_id, a.query_id) AS query_id, coalesce(b.chun
   FROM base b FULL JOIN aff a ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id)"""
 
 
-def graph_ranked(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
+def graph_ranked(spark: SparkSession, sf_dir: str, k: int = 5, base: DataFrame | None = None) -> DataFrame:
     """The lexical results with a boost for passages that entities of the question refer to."""
     refs = graph.references_of(read_table(spark, sf_dir, "rag_graph_entities"))
-    return graph.graph_boost(hybrid(spark, sf_dir, 8), questions(spark), refs, k)
+    return graph.graph_boost(hybrid(spark, sf_dir, 8) if base is None else base, questions(spark), refs, k)
 
 
 def agentic(spark: SparkSession, sf_dir: str, k: int = 7) -> DataFrame:
@@ -269,14 +275,16 @@ def agentic(spark: SparkSession, sf_dir: str, k: int = 7) -> DataFrame:
     kinds = F.lower("question").rlike(r"\b(table|row|column|spreadsheet|image|figure|diagram|chart|audio|recording)\b")
     weights = questions(spark).select("query_id", F.when(kinds, 1.35).otherwise(0.75).alias("multi"), F.when(graph, 1.35).otherwise(0.85).alias("graph"))
     cols = ["query_id", "chunk_id", "rank", "score"]
+    # at most 13 rows per question, used by several tools
+    first, fused = cut_lineage(hybrid(spark, sf_dir, 8).select(*cols)), cut_lineage(fusion(spark, sf_dir, 5).select(*cols))
     tools = [
-        (hybrid(spark, sf_dir, 8).select(*cols), F.lit(1.0)),
-        (fusion(spark, sf_dir, 5).select(*cols), F.lit(1.25)),
-        (corrective(spark, sf_dir).select(*cols), F.lit(1.15)),
+        (first, F.lit(1.0)),
+        (fused, F.lit(1.25)),
+        (corrective(spark, sf_dir, first.where("rank <= 5"), fused).select(*cols), F.lit(1.15)),
         (hybrid(spark, sf_dir, 5, counted=False, boost=True).select(*cols), F.col("multi")),
-        (graph_ranked(spark, sf_dir).select(*cols), F.col("graph")),
+        (graph_ranked(spark, sf_dir, base=first).select(*cols), F.col("graph")),
     ]
-    rows = reduce(DataFrame.unionByName, [t.join(F.broadcast(weights), "query_id").select(*cols, w.alias("weight"), F.lit(i).alias("tool")) for i, (t, w) in enumerate(tools)])
+    rows = reduce(DataFrame.unionByName, [t.join(lex.small(weights), "query_id").select(*cols, w.alias("weight"), F.lit(i).alias("tool")) for i, (t, w) in enumerate(tools)])
     share = F.col("score") / F.max("score").over(Window.partitionBy("query_id", "tool")) * F.col("weight") + 1.0 / (F.col("rank") + 4)
     merged = rows.withColumn("score", share).groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score"))
     sourced = merged.join(chunks(spark, sf_dir).select("chunk_id", "source_name"), "chunk_id")
