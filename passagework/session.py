@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,14 +51,26 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-    (tests, notebooks) a folder of this machine is taken.
+    The folder is the session's ``spark.checkpoint.dir``; only a local session where that is unset
+    (tests, notebooks) takes a folder of this machine, which goes when Python ends. A cluster without the setting is an error,
+    since its executors don't share such a folder.
     """
-    sc = df.sparkSession.sparkContext
+    shared_checkpoints(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_checkpoints(spark: SparkSession) -> str:
+    """The session's checkpoint folder; sets it if need be."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        where = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="passagework-checkpoint-", dir=os.environ.get("TMPDIR"))
+        where = sc.getConf().get("spark.checkpoint.dir")
+        if not where:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            where = tempfile.mkdtemp(prefix="passagework-checkpoint-", dir=os.environ.get("TMPDIR"))
+            atexit.register(shutil.rmtree, where, ignore_errors=True)
         sc.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
 
 
 def salted_lookup(left: DataFrame, right: DataFrame, key: str, row_id: str, salts: int = 16) -> DataFrame:
@@ -70,14 +85,14 @@ def salted_lookup(left: DataFrame, right: DataFrame, key: str, row_id: str, salt
     return spread.join(copies, [key, "__salt"], "left").drop("__salt")
 
 
-def spread_lookup(left: DataFrame, right: DataFrame, key: str, row_id: str, hot: int = 64, salts: int = 32) -> DataFrame:
+def spread_lookup(left: DataFrame, right: DataFrame, key: str, row_id: str, counted: DataFrame | None = None, hot: int = 64, salts: int = 32) -> DataFrame:
     """left LEFT JOIN right on ``key``, where ``right`` has one row per key and a few keys may hold much of ``left``.
 
     The ``hot`` most frequent keys (so a list of fixed length) are salted: their rows are spread by row id over ``salts``
     copies of their row of ``right``. All other keys are joined as they are, so nothing else is copied. Null keys match
-    nothing and are spread too.
+    nothing and are spread too. ``counted``: rows with the same keys, if ``left`` itself is costly to go over twice.
     """
-    counts = left.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1000")
+    counts = (left if counted is None else counted).where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1000")
     listed = [r[key] for r in counts.orderBy(F.desc("count"), key).limit(hot).collect()]
     often = F.col(key).isin(listed) if listed else F.lit(False)
     salt = F.when(often | F.col(key).isNull(), F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")).otherwise(0)

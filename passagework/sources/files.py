@@ -10,7 +10,7 @@ import csv
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -47,18 +47,26 @@ def plain_text(data: bytes) -> str:
     return data.decode("utf-8", errors="ignore").lstrip("﻿")
 
 
-def table_text(data: bytes, delimiter: str = ",") -> str:
-    """``Row n: key: value; ...`` of the first rows; keys and values that are empty are left out."""
-    text = plain_text(data)
+def stopped(rows: int) -> str:
+    return f"stopped after {rows} rows"
+
+
+def table_text(data: bytes, delimiter: str = ",", most: int = ROWS) -> tuple[str, str | None]:
+    """``Row n: key: value; ...`` of the first ``most`` rows, and a notice if there are more; keys and values that are empty are
+    left out. The text as it is if no row has any."""
+    text, notice = plain_text(data), None
     try:
         lines = []
-        for n, row in zip(range(1, ROWS + 1), csv.DictReader(io.StringIO(text), delimiter=delimiter), strict=False):
+        for n, row in enumerate(csv.DictReader(io.StringIO(text), delimiter=delimiter), 1):
+            if n > most:
+                notice = stopped(most)
+                break
             cells = [f"{k.strip()}: {v.strip()}" for k, v in row.items() if isinstance(k, str) and isinstance(v, str) and k.strip() and v.strip()]
             if cells:
                 lines.append(f"Row {n}: {'; '.join(cells)}")
     except csv.Error:
-        return text
-    return "\n".join(lines)
+        return text, None
+    return "\n".join(lines) if lines else text, notice
 
 
 def word_text(data: bytes) -> str:
@@ -77,8 +85,9 @@ def word_text(data: bytes) -> str:
     return "\n\n".join(out)
 
 
-def sheet_text(data: bytes) -> str:
-    """Sheets of an XLSX file in the order of the workbook: ``Sheet: name``, then ``Row r: a; b`` lines."""
+def sheet_text(data: bytes, most: int = ROWS) -> tuple[str, str | None]:
+    """Sheets of an XLSX file in the order of the workbook: ``Sheet: name``, then ``Row r: a; b`` lines. Of all sheets together
+    ``most`` rows are looked at, empty ones too; a notice says so if there are more."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
         shared = []
@@ -87,7 +96,7 @@ def sheet_text(data: bytes) -> str:
                 phonetic = {id(t) for r in item.iter(f"{_S}rPh") for t in r.iter(f"{_S}t")}
                 shared.append("".join(t.text or "" for t in item.iter(f"{_S}t") if id(t) not in phonetic))
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(member(z, "xl/_rels/workbook.xml.rels"))}
-        lines, left = [], ROWS
+        lines, left, notice = [], most, None
         for sheet in ElementTree.fromstring(member(z, "xl/workbook.xml")).iter(f"{_S}sheet"):
             path = "xl/" + re.sub(r"^/?(xl/)?", "", targets.get(sheet.get(f"{_R}id")) or "")
             if path not in names:
@@ -95,12 +104,13 @@ def sheet_text(data: bytes) -> str:
             lines.append(f"Sheet: {sheet.get('name')}")
             for row in ElementTree.fromstring(member(z, path)).iter(f"{_S}row"):
                 if left == 0:
+                    notice = stopped(most)
                     break
+                left -= 1
                 cells = [c for c in (cell_text(c, shared).strip() for c in row.iter(f"{_S}c")) if c]
                 if cells:
                     lines.append(f"Row {row.get('r')}: {'; '.join(cells)}")
-                    left -= 1
-    return "\n".join(lines)
+    return "\n".join(lines), notice
 
 
 def cell_text(cell: ElementTree.Element, shared: list[str]) -> str:
@@ -114,18 +124,36 @@ def cell_text(cell: ElementTree.Element, shared: list[str]) -> str:
     return value
 
 
-READERS = {"csv": table_text, "tsv": lambda d: table_text(d, "\t"), "docx": word_text, "xlsx": sheet_text}
-#: What stands for the content of files that can't be read as text.
-NOTES = {"image": "Image file; its content has not been read.", "audio": "Audio file; its content has not been read."}
+def unmarked(read: Callable[[bytes], str]) -> Callable[[bytes], tuple[str, str | None]]:
+    return lambda data: (read(data), None)
+
+
+#: Suffixes of files that are plain text; a file without suffix is one too, unless it has a zero byte.
+TEXT_SUFFIXES = ("", "txt", "md", "markdown", "rst", "log", "json", "jsonl", "xml", "yaml", "yml", "html", "htm", "ini", "toml", "cfg", "sql", "py", "js", "ts", "java", "c", "cpp", "h", "sh", "tex", "srt", "vtt")
+READERS = {**{end: unmarked(plain_text) for end in TEXT_SUFFIXES}, "csv": table_text, "tsv": lambda d: table_text(d, "\t"), "docx": unmarked(word_text), "xlsx": sheet_text}
+#: What stands for the content of files that can't be read as text, by modality and by suffix.
+NOTES = {
+    "image": "Image file; its content has not been read.",
+    "audio": "Audio file; its content has not been read.",
+    "pdf": "PDF file; its content has not been read. Its pages can be given as rows.",
+    "xls": "Workbook of an old format; its content has not been read. Saved as XLSX it can be.",
+    "doc": "Document of an old format; its content has not been read. Saved as DOCX it can be.",
+    "ppt": "Slides; their content has not been read.",
+    "pptx": "Slides; their content has not been read.",
+}
+BINARY = "File of an unknown kind; its content has not been read."
 
 
 def extract(name: str, modality: str, data: bytes) -> tuple[str, str | None]:
-    """(text, notice) of one file; a file that can't be read has no text and a notice that says why."""
-    if modality in NOTES:
-        return NOTES[modality], "not read"
+    """(text, notice) of one file; a file that can't be read has no text and a notice that says why. Nothing binary is taken for text."""
     end = name.rsplit(".", 1)[-1].lower() if "." in name else ""
+    note = NOTES.get(modality) or NOTES.get(end)
+    if note is None and (end not in READERS or (READERS[end] is READERS[""] and b"\0" in data[:4096])):
+        note = BINARY
+    if note:
+        return note, "not read"
     try:
-        return READERS.get(end, plain_text)(data), None
+        return READERS[end](data)
     except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, Unreadable, csv.Error) as e:
         return "", f"unreadable: {type(e).__name__}"
 

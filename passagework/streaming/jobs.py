@@ -10,15 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from passagework.session import cut_lineage
+from passagework.session import shared_checkpoints
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder beside the session's checkpoints, which all executors see."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        cut_lineage(spark.range(1).toDF("id"))  # sets the folder as elsewhere
-    return f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    return f"{shared_checkpoints(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def run_batches(source: DataFrame, out: str, process: Callable[[DataFrame], DataFrame], mode: str = "append") -> None:
@@ -45,11 +42,12 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, files: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def windowed_counts(events: DataFrame, length: str = "1 hour", late: str = "2 hours", ts: str = "ts", kind: str = "event_type", value: str = "value") -> DataFrame:
-    """Numbers and sums per time window and kind; rows later than ``late`` are left out."""
+def windowed_counts(events: DataFrame, length: str = "1 hour", late: str | None = None, ts: str = "ts", kind: str = "event_type", value: str = "value") -> DataFrame:
+    """Numbers and sums per time window and kind. Every row counts, however late: windows stay open, a row of state per
+    window and kind. With ``late`` the state is bounded, and rows later than that are left out."""
+    timely = events.withWatermark(ts, late) if late else events
     return (
-        events.withWatermark(ts, late)
-        .groupBy(F.window(ts, length).alias("w"), F.col(kind).alias("kind"))
+        timely.groupBy(F.window(ts, length).alias("w"), F.col(kind).alias("kind"))
         .agg(F.count("*").alias("n"), F.sum(value).alias("total"))
         .select(F.col("w.start").alias("window_start"), "kind", "n", "total")
     )

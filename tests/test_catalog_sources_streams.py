@@ -70,6 +70,28 @@ def test_documents_from_files(spark, tmp_path):
     assert rows["e.docx"].text == "" and rows["e.docx"].notice.startswith("unreadable") and rows["f.png"].notice == "not read" and "g.txt" not in rows
 
 
+def test_nothing_binary_is_text_and_long_tables_say_so():
+    for name, modality in (("a.pdf", "pdf"), ("a.xls", "table"), ("a.doc", "text"), ("a.pptx", "text"), ("a.bin", "text"), ("a.png", "image")):
+        text, notice = src.extract(name, modality, b"%PDF-1.7 \x00\x01 secret")
+        assert "secret" not in text and notice == "not read"
+    assert src.extract("noext", "text", b"a\0b")[1] == "not read" and src.extract("noext", "text", b"ab") == ("ab", None)
+    text, notice = src.extract("a.csv", "table", b"k\n" + b"v\n" * 301)
+    assert text.count("Row") == 300 and notice == "stopped after 300 rows"
+    assert src.extract("a.csv", "table", b"k\n" + b"v\n" * 300)[1] is None and src.extract("b.csv", "table", b"only\n") == ("only\n", None)
+    text, notice = src.sheet_text(xlsx(), most=1)
+    assert "Row 1" in text and "Row 3" not in text and notice == "stopped after 1 rows" and src.sheet_text(xlsx(), most=2)[1] is None
+
+
+def test_late_rows_of_many_files_count(spark, tmp_path):
+    rows = spark.range(300).selectExpr("timestampadd(MINUTE, (id * 7919) % 100000, timestamp'2024-01-01') AS ts", "concat('k', id % 3) AS event_type", "1.0D AS value")
+    rows.repartition(12).write.parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    source = jobs.read_stream(spark, str(tmp_path / "in"), rows.schema, files=1)
+    jobs.run_batches(jobs.windowed_counts(source, "30 days"), out, lambda b: b, mode="update")
+    last = jobs.last_state(jobs.results(spark, out), "window_start", "kind")
+    assert last.agg(F.sum("n")).first()[0] == 300 and jobs.results(spark, out).select("batch").distinct().count() == 12
+
+
 def test_archive_bomb():
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:

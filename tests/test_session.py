@@ -1,4 +1,6 @@
-from passagework.session import spread_lookup
+import pytest
+
+from passagework.session import shared_checkpoints, spread_lookup
 
 
 def test_lookup_of_hot_and_null_keys(spark):
@@ -7,3 +9,20 @@ def test_lookup_of_hot_and_null_keys(spark):
     out = spread_lookup(left, right, "key", "id", salts=4)
     assert out.count() == 5000 and out.where("value = 1").count() == 1667 and out.where("value = 2").count() == 1 and out.where("value > 2").count() == 0
     assert spread_lookup(left.limit(0), right, "key", "id").count() == 0 and spread_lookup(left, right.limit(0), "key", "id").where("value is not null").count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_checkpoints(Session())
