@@ -140,20 +140,26 @@ def _visit(x: np.ndarray, trees: list[tuple[np.ndarray, np.ndarray]], depth: int
     return visited
 
 
+def slack(dim: int) -> float:
+    """How far two half-precision products of vectors of length 1 may be off together: each component is rounded by at most
+    2^-11 of itself (2^-25 near zero), and the sum is taken in single precision."""
+    return 2 * (2.0**-10 + 2.0**-22 + dim**0.5 * 2.0**-24 + dim * 2.0**-23)
+
+
 def _compare(k: int, floor: float):
-    """Best partners of every query within one leaf."""
+    """Partners of every query within one leaf that may be among its k best: all within ``slack`` of the k-th."""
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         keys = rows["key"].to_numpy()
         x = np.frombuffer(b"".join(rows["v"]), "<f2").reshape(len(rows), -1).astype("float32")
         at = np.flatnonzero(rows["member"].to_numpy())
-        members, names, out = x[at], keys[at], []
+        members, names, out, off = x[at], keys[at], [], slack(x.shape[1])
         for start in range(0, len(x) if len(at) else 0, 2048):
             sims = x[start : start + 2048] @ members.T
             sims[keys[start : start + 2048, None] == names[None, :]] = -2
             if floor <= -1 and sims.shape[1] > k:
                 edge = np.partition(sims, -k, axis=1)[:, -k]
-                q, m = np.nonzero((sims >= edge[:, None]) & (sims > -2))
+                q, m = np.nonzero((sims >= edge[:, None] - off) & (sims > -2))
             else:
                 q, m = np.nonzero(sims >= max(floor, -1.5))
             out.append(pd.DataFrame({"key": keys[start + q], "other": names[m], "sim": sims[q, m]}))
@@ -162,7 +168,8 @@ def _compare(k: int, floor: float):
         found = pd.concat(out)
         if len(found) > k:
             found = found.sort_values(["key", "sim"], ascending=[True, False], kind="stable")
-            found = found[found.groupby("key").cumcount() < k]
+            last = found[found.groupby("key").cumcount() == k - 1].set_index("key")["sim"]
+            found = found[found["sim"] >= found["key"].map(last).fillna(-9.0) - off]
         return found
 
     return compare
@@ -220,8 +227,11 @@ def most_similar(vectors: DataFrame, k: int = 5, at_least: float | None = None,
 
     floor = -1.0 if at_least is None else at_least - 0.01  # half precision errs by less
     met = points.select("model", "key", "v").mapInPandas(place, "leaf long, key long, member boolean, v binary")
-    pairs = met.groupBy("leaf").applyInPandas(_compare(k + 3, floor), "key long, other long, sim float")
-    best = pairs.groupBy("key", "other").agg(F.max("sim").alias("sim")).withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("sim"), "other"))).where(F.col("n") <= k + 3)
+    pairs = met.groupBy("leaf").applyInPandas(_compare(k, floor), "key long, other long, sim float")
+    numbered = pairs.groupBy("key", "other").agg(F.max("sim").alias("sim")).withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("sim"), "other")))
+    # what half precision can't tell from the k-th best is left to the exact products
+    off = slack(max(d for _, d in counts.values()))
+    best = numbered.withColumn("last", F.min(F.when(F.col("n") <= k, F.col("sim"))).over(Window.partitionBy("key"))).where(F.col("sim") >= F.col("last") - F.lit(off))
     a = points.select("key", "v", "ids")
     b = points.select(F.col("key").alias("other"), F.col("v").alias("w"), F.col("ids").alias("others"))
     reranked = best.select("key", "other").join(a, "key").join(b, "other").select("key", "other", "v", "w", "ids", "others").mapInPandas(_rerank, "key long, other long, ids array<string>, others array<string>, sim double")

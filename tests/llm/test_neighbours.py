@@ -82,3 +82,20 @@ def test_every_copy_has_neighbours(spark):
 
 def test_no_vectors(spark):
     assert most_similar(decode_vectors(frame(spark, []))).count() == 0
+
+
+def test_more_near_copies_than_half_precision_can_tell_apart(spark):
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal(64)
+    near = base + rng.standard_normal((40, 64)) * 2e-4
+    rows = [(f"n{i:02d}", v.astype("<f4").tobytes(), None, "m", 64) for i, v in enumerate([*near, *rng.standard_normal((20, 64))])]
+    df = spark.createDataFrame(rows, "id string, embedding_vector binary, embedding_json string, embedding_model string, embedding_dim int")
+    got = {}
+    for r in most_similar(decode_vectors(df), k=5).collect():
+        got.setdefault(r.id, []).append((r.place, r.other))
+    x = np.stack([np.frombuffer(r[1], "<f4").astype("float64") for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sims = x @ x.T
+    np.fill_diagonal(sims, -2)
+    same = sum(len({o for _, o in got[f"n{i:02d}"]} & {f"n{j:02d}" for j in np.argsort(-sims[i])[:5]}) for i in range(40))
+    assert same >= 195  # products that agree to double precision of the rounded vectors may differ
