@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagework.session import cut_lineage, salted_lookup, spread
+from passagework.session import cut_lineage, salted_lookup, spread, spread_lookup
 
 #: Rounds of scoring, and the confidence from which a candidate is a mention.
 ROUNDS, ACCEPT = 3, 0.5
@@ -244,10 +244,13 @@ def _score_shapes(found: DataFrame, kind: str, seeds: Column, types: list[str])
 
 def _typed(found: DataFrame, kind: str, insts: DataFrame, patterns: DataFrame, types: list[str]) -> DataFrame:
     """Mentions of one kind: the type whose instance and patterns agree best."""
-    mine = found.where(F.col("kind") == kind).join(insts, "inst", "left")
-    for side, mark in (("left2", "<<"), ("left1", "<"), ("right1", ">")):
+    sides = (("left2", "<<"), ("left1", "<"), ("right1", ">"))
+    own = found.where(F.col("kind") == kind).withColumns({f"__{side}": F.concat(F.lit(mark), side) for side, mark in sides})
+    # a shape or context that much of the corpus shares, as a comma, is spread over many tasks
+    mine = spread_lookup(own, insts, "inst", "start")
+    for side, _ in sides:
         named = patterns.select(F.col("pattern").alias(f"__{side}"), *(F.col(f"p_{t}").alias(f"{side}_{t}") for t in types))
-        mine = mine.withColumn(f"__{side}", F.concat(F.lit(mark), side)).join(named, f"__{side}", "left")
+        mine = spread_lookup(mine, named, f"__{side}", "start", counted=own)
     # the instance and at least a hint of a context must agree; a sure instance stands alone
     context = {t: _either(F.col(f"left2_{t}"), F.col(f"left1_{t}") * 0.5, F.col(f"right1_{t}") * 0.5) for t in types}
     scores = [F.struct(_either(F.col(f"c_{t}"), context[t] * F.least(F.lit(1.0), F.col(f"c_{t}") * 2 + 0.35)).alias("score"), F.lit(t).alias("type")) for t in types]
@@ -282,9 +285,10 @@ def _score_names(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Dat
 
 
 def _name_mentions(pairs: DataFrame, given: DataFrame, surname: DataFrame, patterns: DataFrame) -> DataFrame:
-    mine = pairs.join(given, "given", "left").join(surname, "surname", "left")
-    p = patterns.where(F.col("pattern").startswith("<<"))
-    mine = mine.withColumn("pattern", F.concat(F.lit("<<"), "left2")).join(p.withColumnRenamed("p", "pl"), "pattern", "left")
+    own = pairs.withColumn("pattern", F.concat(F.lit("<<"), "left2"))
+    mine = own
+    for table, key in ((given, "given"), (surname, "surname"), (patterns.where(F.col("pattern").startswith("<<")).withColumnRenamed("p", "pl"), "pattern")):
+        mine = spread_lookup(mine, table, key, "start", counted=own)
     g, s = F.coalesce("g", F.lit(0.0)), F.coalesce("s", F.lit(0.0))
     word = F.when(F.col("given") == ".", s).otherwise(F.least(g, s))
     # strong words, or a strong context and no word known to be something else
