@@ -20,8 +20,27 @@ def per_query(results: DataFrame, qrels: DataFrame, cuts: tuple[int, ...] = CUTS
     once = results.groupBy("query_id", "item").agg(F.min("rank").alias("rank"))
     again = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "item"))) if renumber else once
     relevant = qrels.select("query_id", "item").distinct()
-    n = relevant.groupBy("query_id").agg(F.count("*").alias("n"))
-    hits = again.join(relevant, ["query_id", "item"]).groupBy("query_id")
+    return _metrics(relevant.groupBy("query_id").agg(F.count("*").alias("n")), again.join(relevant, ["query_id", "item"]), cuts)
+
+
+def per_query_labelled(results: DataFrame, items: DataFrame, questions: DataFrame, cuts: tuple[int, ...] = CUTS) -> DataFrame:
+    """The metrics of ``per_query`` where an item is relevant if it has the label of the question, and isn't the question itself.
+
+    items: item, label. questions: query_id, label. Relevant items are counted per label and labels compared for the results
+    only, so the pairs of a label are never listed. Items without a label are relevant to nothing.
+    """
+    known = items.where(F.col("label").isNotNull()).select("item", "label").distinct()
+    counts = known.groupBy("label").agg(F.count("*").alias("m"))
+    own = questions.select("query_id", "label").join(known.select(F.col("item").alias("query_id"), "label", F.lit(1).alias("self")), ["query_id", "label"], "left")
+    n = own.join(counts, "label").select("query_id", (F.col("m") - F.coalesce("self", F.lit(0))).alias("n")).where("n > 0")
+    once = results.where("query_id != item").groupBy("query_id", "item").agg(F.min("rank").alias("rank"))
+    again = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "item")))
+    return _metrics(n, again.join(questions.select("query_id", "label"), "query_id").join(known, ["item", "label"]), cuts)
+
+
+def _metrics(n: DataFrame, found: DataFrame, cuts: tuple[int, ...]) -> DataFrame:
+    """Metrics from the number of relevant items (query_id, n) and the ranks of those found (query_id, rank)."""
+    hits = found.groupBy("query_id")
     sums = []
     for k in cuts:
         inside = F.col("rank") <= k

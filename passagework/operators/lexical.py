@@ -179,9 +179,34 @@ def coverage(chunks: DataFrame, questions: DataFrame, results: DataFrame, top: i
     return rows.select("query_id", F.coalesce("best", F.lit(0.0)).alias("best"), F.coalesce(F.try_divide(F.coalesce("found", F.lit(0)), F.col("wanted")), F.lit(0.0)).alias("covered"))
 
 
-def sufficient(cover: DataFrame, least: float = 0.35) -> DataFrame:
-    """Gate on the first three results: enough terms covered and something scored."""
-    return cover.withColumn("sufficient", (F.col("covered") >= least) & (F.col("best") > 0))
+def sufficient(cover: DataFrame, least: float = 0.35, similar: DataFrame | None = None) -> DataFrame:
+    """Gate on the first three results: enough terms covered and something scored; or, with ``similar`` (query_id, similarity,
+    floor: of the results of a vector search, and what counts as evidence for its model), one similar enough."""
+    enough = (F.col("covered") >= least) & (F.col("best") > 0)
+    if similar is None:
+        return cover.withColumn("sufficient", enough)
+    near = similar.groupBy("query_id").agg(F.bool_or(F.col("similarity") >= F.col("floor")).alias("near"))
+    return cover.join(near, "query_id", "left").withColumn("sufficient", enough | F.coalesce("near", F.lit(False))).drop("near")
+
+
+def scoped_bm25(chunks: DataFrame, questions: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """query_id, chunk_id, score: every question (query_id, scope, question) asked of the passages of its scope, with the
+    statistics of that scope: number of passages, their mean length, and document frequencies.
+
+    chunks: chunk_id, scope, contextual. Only postings of asked (scope, term) pairs take part, and they meet questions by a
+    shuffle join on both, so neither a question's nor a scope's rows go through one task as a whole.
+    """
+    terms = cut_lineage(questions.select("query_id", "scope", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term")))
+    scopes = terms.select("scope").distinct()
+    words = tokens(F.col("contextual"))
+    rows = cut_lineage(chunks.where("scope is not null").select("chunk_id", "scope", words.alias("words")).join(scopes, "scope", "left_semi").dropDuplicates(["chunk_id"]))
+    sizes = rows.groupBy("scope").agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"))
+    found = rows.select("chunk_id", "scope", F.size("words").alias("length"), F.explode("words").alias("term")).groupBy("scope", "term", "chunk_id", "length").agg(F.count("*").alias("tf"))
+    wanted = cut_lineage(found.join(terms.select("scope", "term").distinct(), ["scope", "term"], "left_semi"))
+    weights = wanted.groupBy("scope", "term").agg(F.count("*").alias("df")).join(sizes, "scope").select("scope", "term", idf(F.col("df"), F.col("n")).alias("idf"), "mean")
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.greatest(F.col("mean"), F.lit(1e-9))))
+    asked = terms.join(weights, ["scope", "term"])
+    return asked.join(wanted, ["scope", "term"]).groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
 
 
 def graded(cover: DataFrame) -> DataFrame:

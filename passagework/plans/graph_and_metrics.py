@@ -124,11 +124,10 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_results(spark, sf_dir, 8).select("query_id", "item", "rank", F.round("score", 6).alias("score"))
 
 
-def label_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
+def label_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of the same label are relevant to one another."""
-    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    asked = rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
-    return rows.join(asked, "label").where("vec_id != query_id").select("query_id", F.col("vec_id").alias("item"))
+    rows = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item"), "label")
+    return evaluation.per_query_labelled(dense_results(spark, sf_dir, 10), rows, rows.where("item % 20 = 0").withColumnRenamed("item", "query_id"))
 
 
 def _metric_sql(k: int) -> str:
@@ -143,13 +142,13 @@ m AS (SELECT query_id, coalesce(1.0 / first, 0) AS mrr, {', '.join(map(_metric_s
 
 @query("ir_metrics", _METRICS + " SELECT query_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in ["mrr", *(f"{m}_{k}" for k in evaluation.CUTS for m in ("recall", "precision", "ndcg"))]) + ", " + ", ".join(f"hit_{k}" for k in evaluation.CUTS) + " FROM m")
 def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = evaluation.per_query(dense_results(spark, sf_dir, 10), label_judgements(spark, sf_dir))
+    rows = label_metrics(spark, sf_dir)
     return rows.select("query_id", *(F.round(c, 6).alias(c) if not c.startswith("hit") else F.col(c) for c in rows.columns if c != "query_id"))
 
 
 @query("ir_metrics_average", _METRICS + " SELECT count(*) AS n_queries, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in ["mrr", *(f"{m}_{k}" for k in evaluation.CUTS for m in ("recall", "precision", "hit", "ndcg"))]) + " FROM m")
 def ir_metrics_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.averaged(evaluation.per_query(dense_results(spark, sf_dir, 10), label_judgements(spark, sf_dir)))
+    return evaluation.averaged(label_metrics(spark, sf_dir))
 
 
 @query("ir_metrics_by_variant")
@@ -196,8 +195,14 @@ _GROUPS = _METRICS.replace("SELECT a.vec_id AS query_id, b.vec_id AS item FROM e
 @query("group_metrics", _GROUPS + " SELECT query_id, round(mrr, 6) AS mrr, round(recall_10, 6) AS recall_10, round(precision_10, 6) AS precision_10, round(ndcg_10, 6) AS ndcg_10, hit_1 FROM m")
 def group_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics with the relevant vectors in five groups of interchangeable ones."""
-    groups = label_judgements(spark, sf_dir).withColumn("group_id", F.col("item") % 5)
-    rows = evaluation.per_query_groups(dense_results(spark, sf_dir, 10), groups)
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.col("vec_id") % 5).alias("group_id"))
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    # groups of a question's label, which are few, and the groups of its results, instead of all pairs of a label
+    others = rows.groupBy("label", "group_id").agg(F.count("*").alias("m"))
+    own = asked.join(others, "label").withColumn("m", F.col("m") - (F.col("query_id") % 5 == F.col("group_id")).cast("int")).where("m > 0")
+    found = dense_results(spark, sf_dir, 10).join(rows.withColumnRenamed("vec_id", "item"), "item").join(asked, ["query_id", "label"])
+    hits = found.groupBy("query_id", "group_id").agg(F.min("rank").alias("rank"))
+    rows = evaluation.per_query(hits.withColumnRenamed("group_id", "item"), own.select("query_id", F.col("group_id").alias("item")), renumber=False)
     return rows.select("query_id", *(F.round(c, 6).alias(c) for c in ("mrr", "recall_10", "precision_10", "ndcg_10")), "hit_1")
 
 

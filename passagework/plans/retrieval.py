@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from passagework.functions.keys import norm_key
 from passagework.functions.text import STOPWORDS, best_sentence, tokens
 from passagework.operators import graph
 from passagework.operators import lexical as lex
@@ -86,6 +87,26 @@ def bm25_ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return lex.ranked(scores, k)
 
 
+_KEYED = "lower(trim({0}, ' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(8203) || chr(65279)))"
+_SCOPED = f"""WITH s AS (SELECT DISTINCT id AS query_id, {_KEYED.format('brain')} AS scope, user_query AS question FROM chat_history WHERE id IS NOT NULL AND user_query IS NOT NULL AND brain IS NOT NULL),
+t AS (SELECT DISTINCT query_id, scope, term FROM (SELECT query_id, scope, unnest({_tok("question")}) AS term FROM s)),
+c AS (SELECT id AS chunk_id, any_value({_KEYED.format('resource_id')}) AS scope, {_tok("any_value(contextual_content)")} AS ts FROM document_chunks GROUP BY id),
+z AS (SELECT scope, count(*) AS n, avg(len(ts)) AS mean FROM c GROUP BY ALL),
+p AS (SELECT scope, chunk_id, length, term, count(*) AS tf FROM (SELECT scope, chunk_id, len(ts) AS length, unnest(ts) AS term FROM c) GROUP BY ALL),
+d AS (SELECT scope, term, count(*) AS df FROM p GROUP BY ALL),
+b AS (SELECT query_id, chunk_id, sum(greatest(0.0, ln(1 + (n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM t JOIN p USING (scope, term) JOIN d USING (scope, term) JOIN z USING (scope) GROUP BY ALL)
+SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS INT) AS rank, round(score, 6) AS score FROM b WHERE score > 0 QUALIFY rank <= 5"""
+
+
+@query("bm25_scoped", _SCOPED)
+def bm25_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chat question asked of the resource it was put to."""
+    named = read_table(spark, sf_dir, "chat_history").where("id is not null and user_query is not null and brain is not null")
+    asked = named.select(F.col("id").alias("query_id"), norm_key(F.col("brain")).alias("scope"), F.col("user_query").alias("question")).distinct()
+    rows = scanned(spark, sf_dir).withColumn("scope", norm_key(F.col("resource_id")))
+    return lex.ranked(lex.scoped_bm25(rows, asked), 5).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query("term_stats", _BASE + " SELECT term, df, cf, round(idf, 6) AS idf FROM stats")
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lex.term_stats(scanned(spark, sf_dir)).withColumn("idf", F.round("idf", 6))
