@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from passagework.operators.lexical import small
+
 
 def live(df: DataFrame, deleted: str = "deleted_at") -> DataFrame:
     return df.where(F.col(deleted).isNull())
@@ -30,6 +32,18 @@ def paged(df: DataFrame, *order: Column, offset: int = 0, limit: int = 0, allowe
     return page.limit(limit) if limit > 0 else page
 
 
+def missing(asked: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Keys that are asked for and aren't known, each once; null keys are not asked for."""
+    return asked.where(F.col(key).isNotNull()).select(key).distinct().join(known.select(key), key, "left_anti")
+
+
+def with_children(parents: DataFrame, children: DataFrame, key: str, *order: str) -> DataFrame:
+    """Parents that have children, with these as an array of structs sorted by ``order``. The array of a parent is one value, so
+    this is for listings of bounded parents; counts and pages of large ones come from ``paged``."""
+    listed = children.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("children"))
+    return parents.join(listed, key)
+
+
 def clamped_limit(limit: int, most: int = 100) -> int:
     return max(1, min(limit, most))
 
@@ -63,11 +77,11 @@ def effective_permissions(user_roles: DataFrame, role_permissions: DataFrame, im
     """user, permission: granted by a role, implied by one that is (permission, implied), or made up of parts that are
     all held (relational division)."""
     direct = user_roles.join(role_permissions, "role").select("user", "permission").distinct()
-    implied = direct.join(F.broadcast(implies), "permission").select("user", F.col("implied").alias("permission"))
+    implied = direct.join(small(implies), "permission").select("user", F.col("implied").alias("permission"))
     held = direct.unionByName(implied).distinct()
     parts = implies.groupBy("permission").agg(F.collect_set("implied").alias("parts"), F.count("*").alias("n"))
-    whole = held.withColumnRenamed("permission", "implied").join(F.broadcast(implies), "implied").groupBy("user", "permission").agg(F.countDistinct("implied").alias("m"))
-    complete = whole.join(F.broadcast(parts), "permission").where("m = n").select("user", "permission")
+    whole = held.withColumnRenamed("permission", "implied").join(small(implies), "implied").groupBy("user", "permission").agg(F.countDistinct("implied").alias("m"))
+    complete = whole.join(small(parts), "permission").where("m = n").select("user", "permission")
     return held.unionByName(complete).distinct()
 
 

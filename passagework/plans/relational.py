@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from passagework.functions.keys import norm_key
 from passagework.functions.text import CLOCK, FILLERS, SMALL_TALK, STOPWORDS, WORLD, document_type, message_kind, modality_of, safe_name, snake_case
 from passagework.operators import catalog as cat
 from passagework.queries import query
@@ -194,7 +195,18 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select(F.col("id").alias("file_id"), document_type(F.col("file_name"), F.lit("text")).alias("doc_type"), snake_case(F.col("file_name")).alias("machine_name"))
 
 
-@query("file_modalities")
+_END = "lower(CASE WHEN contains(file_name, '.') THEN regexp_extract(file_name, '[^.]*$') ELSE '' END)"
+_SAFE = "substring(CASE WHEN regexp_replace(regexp_replace(regexp_replace(coalesce(file_name, ''), '^.*[/\\\\]', ''), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') = '' THEN 'upload' ELSE regexp_replace(regexp_replace(regexp_replace(coalesce(file_name, ''), '^.*[/\\\\]', ''), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') END, 1, 255)"
+
+
+@query(
+    "file_modalities",
+    f"""WITH {_F}, k AS (SELECT file_name, lower(coalesce(file_type, '')) AS kind, coalesce({_END}, '') AS e FROM f)
+SELECT CASE WHEN kind LIKE 'image/%' OR e IN ('png', 'jpg', 'jpeg', 'gif', 'webp', 'bmp', 'svg') THEN 'image'
+  WHEN kind LIKE 'audio/%' OR kind LIKE 'video/%' OR e IN ('mp3', 'wav', 'm4a', 'ogg', 'mp4') THEN 'audio'
+  WHEN e IN ('csv', 'tsv', 'xlsx', 'xls') THEN 'table' WHEN kind = 'application/pdf' OR e = 'pdf' THEN 'pdf' ELSE 'text' END AS modality,
+  count(*) AS n, CAST(count_if({_SAFE} = file_name) AS BIGINT) AS n_safe FROM k GROUP BY ALL""",
+)
 def file_modalities(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = current(spark, sf_dir, "files")
     return files.groupBy(modality_of(F.col("file_name"), F.col("file_type")).alias("modality")).agg(F.count("*").alias("n"), F.count_if(safe_name(F.col("file_name")) == F.col("file_name")).alias("n_safe"))
@@ -214,3 +226,38 @@ def message_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat messages by whether they ask the documents anything."""
     rows = read_table(spark, sf_dir, "chat_history").where("user_query is not null").select("id", "user_query").distinct()
     return rows.groupBy(message_kind(F.col("user_query")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+_KEY = "lower(trim({0}, ' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(8203) || chr(65279)))"
+
+
+@query(
+    "missing_entities",
+    f"SELECT DISTINCT {_KEY.format('source_entity_id')} AS entity_key FROM rag_graph_edges WHERE {_KEY.format('source_entity_id')} <> '' AND {_KEY.format('source_entity_id')} NOT IN (SELECT {_KEY.format('id')} FROM rag_graph_entities WHERE id IS NOT NULL)",
+)
+def missing_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities that edges begin at and that don't exist."""
+    named = read_table(spark, sf_dir, "rag_graph_edges").select(norm_key(F.col("source_entity_id")).alias("entity_key")).where("entity_key != ''")
+    return cat.missing(named, read_table(spark, sf_dir, "rag_graph_entities").select(norm_key(F.col("id")).alias("entity_key")), "entity_key")
+
+
+@query(
+    "owned_chunks",
+    f"WITH {_R}, {_C} SELECT user_id, count(*) AS n_chunks, CAST(count_if(embedded) AS BIGINT) AS n_embedded FROM c JOIN r ON r.id = c.resource_id WHERE r.deleted_at IS NULL GROUP BY ALL",
+)
+def owned_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of the live resources of every user."""
+    owners = cat.live(current(spark, sf_dir, "resources")).select(F.col("id").alias("resource_id"), "user_id")
+    return chunk_keys(spark, sf_dir).join(owners, "resource_id").groupBy("user_id").agg(F.count("*").alias("n_chunks"), F.count_if("embedded").alias("n_embedded"))
+
+
+@query(
+    "resource_files",
+    f"WITH {_R}, {_F} SELECT r.id AS resource_id, count(f.id) AS n_files, array_to_string(list(f.id ORDER BY f.created_at, f.id), ',') AS files FROM r JOIN f ON f.resource_id = r.id WHERE r.deleted_at IS NULL AND f.deleted_at IS NULL GROUP BY ALL",
+)
+def resource_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live files of every live resource, oldest first."""
+    parents = cat.live(current(spark, sf_dir, "resources")).select(F.col("id").alias("resource_id"))
+    children = cat.live(current(spark, sf_dir, "files")).select("resource_id", "created_at", "id")
+    rows = cat.with_children(parents, children, "resource_id", "created_at", "id")
+    return rows.select("resource_id", F.size("children").cast("long").alias("n_files"), F.array_join(F.transform("children", lambda c: c["id"]), ",").alias("files"))
