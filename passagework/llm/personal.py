@@ -379,11 +379,12 @@ def find_mentions(texts: DataFrame) -> DataFrame:
     texts = spread(texts, "row_id", "text")
     found = cut_lineage(texts.mapInPandas(_scan, _CANDIDATES).distinct())
     number_seed = F.when(F.col("inst").rlike(PHONE_SHAPES), "phone").when(F.col("inst").isin(*ID_SHAPES), "id_number").when(F.col("inst") == "spelled", "phone")
-    numbers = _typed(found, "number", *_score_shapes(found, "number", number_seed, ["phone", "id_number"]), ["phone", "id_number"])
-    addresses = _typed(found, "address", *_score_shapes(found, "address", F.when(F.col("inst").isin(*sorted(STREETS)), "address"), ["address"]), ["address"])
+    # mentions are few beside the text; written one kind after another, so that no plan holds all joins at once
+    numbers = cut_lineage(_typed(found, "number", *_score_shapes(found, "number", number_seed, ["phone", "id_number"]), ["phone", "id_number"]))
+    addresses = cut_lineage(_typed(found, "address", *_score_shapes(found, "address", F.when(F.col("inst").isin(*sorted(STREETS)), "address"), ["address"]), ["address"]))
     emails = found.where("kind = 'email'").select("source", "row_id", "start", "end", F.lit("email").alias("pii_type"), F.lit(1.0).alias("score"))
     pairs, given, surname, patterns = _score_names(found)
-    names = _name_mentions(pairs, given, surname, patterns)
+    names = cut_lineage(_name_mentions(pairs, given, surname, patterns))
     lower = _lower_mentions(texts, given, surname)
     every = emails.unionByName(numbers).unionByName(addresses).unionByName(names).unionByName(lower.distinct())
     rank = F.element_at(F.create_map(*(x for i, t in enumerate(["email", "id_number", "phone", "address", "name"]) for x in (F.lit(t), F.lit(5 - i)))), F.col("pii_type"))
