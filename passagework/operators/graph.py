@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagework.functions.text import entities, tokens, whole_entities
+from passagework.functions.text import entities, tokens
 from passagework.operators.lexical import ranked, small
 
 #: A key is paired with so many following keys of its chunk; share and saturation of the boost.
@@ -79,4 +79,4 @@ def aliases(found: DataFrame, most: int = 6) -> DataFrame:
 
 def question_aliases(chunks: DataFrame) -> DataFrame:
     """word, alias, place: what questions are widened with, of the first twelve entities of every passage."""
-    return aliases(chunk_entities(chunks, lambda content: whole_entities(content, 12)))
+    return aliases(chunk_entities(chunks, lambda content: entities(content, 12)))

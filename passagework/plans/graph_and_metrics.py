@@ -5,27 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.functions.text import category_of, document_type, parent_key, version_of, whole_entities
+from passagework.functions.text import category_of, document_type, parent_key, version_of
 from passagework.operators import dense, evaluation, graph
 from passagework.operators import lexical as lex
-from passagework.plans.retrieval import _BASE, _HYBRID, _STOP, GRAPH_SQL, chunks, graph_ranked, hybrid, questions
+from passagework.plans.retrieval import _BASE, _HYBRID, _STOP, GRAPH_SQL, _tok, chunks, graph_ranked, hybrid, questions
 from passagework.queries import query
 from passagework.session import read_table
 from passagework.sources import vectors
 
 
 
+#: White space as ``functions.text.SPACE`` has it, for the oracle's engine.
+SPACE_SQL = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def _first(xs: str) -> str:
+    """The distinct values of a list in order of first appearance."""
+    return f"list_filter(list_transform(range(len({xs})), lambda i: CASE WHEN list_position({xs}, {xs}[i + 1]) = i + 1 THEN {xs}[i + 1] END), lambda v: v IS NOT NULL)"
+
+
 def found_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.chunk_entities(chunks(spark, sf_dir))
 
 
+_WORD = "[A-Z][A-Za-z0-9&.-]*"
 #: Letters beyond ASCII join words for the engine, so they become an underscore here.
 _ENTITIES = (
     _BASE
-    + r""", runs AS (SELECT chunk_id, list_filter(regexp_extract_all(regexp_replace(content, '[^\x00-\x7F\p{Z}\p{P}\p{S}\p{C}\p{M}]', '_', 'g'), '\b[A-Z][A-Za-z0-9]+(?:\s+[A-Z][A-Za-z0-9]+){0,3}'), lambda r: length(r) BETWEEN 3 AND 80 AND NOT list_contains("""
+    + r""", runs AS (SELECT chunk_id, content, list_filter(regexp_extract_all(regexp_replace(content, '[^\x00-\x7F\p{Z}\p{P}\p{S}\p{C}\p{M}]', '_', 'g'), '\b"""
+    + f"{_WORD}(?:{SPACE_SQL}{_WORD}){{0,3}}"
+    + r"""\b'), lambda r: length(r) BETWEEN 3 AND 80 AND NOT list_contains("""
     + _STOP
-    + """, lower(r))) AS raw FROM c),
-ent AS (SELECT chunk_id, unnest(xs) AS name, unnest(range(len(xs))) AS ord FROM (SELECT chunk_id, list_filter(list_transform(range(len(raw)), lambda i: CASE WHEN list_position(raw, raw[i + 1]) = i + 1 THEN raw[i + 1] END), lambda v: v IS NOT NULL)[1:20] AS xs FROM runs))"""
+    + f""", lower(r))) AS raw FROM c),
+named AS (SELECT chunk_id, {_first('raw')}[1:20] AS xs FROM runs),
+often AS (SELECT chunk_id, term, row_number() OVER (PARTITION BY chunk_id ORDER BY count(*) DESC, min(i)) - 1 AS ord
+  FROM (SELECT chunk_id, unnest(ts) AS term, unnest(range(len(ts))) AS i FROM (SELECT chunk_id, {_tok("content")} AS ts FROM runs WHERE content IS NOT NULL AND len(raw) = 0)) GROUP BY chunk_id, term QUALIFY ord < 8),
+ent AS (SELECT chunk_id, unnest(xs) AS name, unnest(range(len(xs))) AS ord FROM named
+  UNION ALL SELECT chunk_id, array_to_string(list_transform(regexp_extract_all(term, '[a-z]+|[^a-z]+'), lambda w: upper(w[1]) || w[2:]), '') AS name, ord FROM often)"""
 )
 
 
@@ -167,9 +183,16 @@ def ir_metrics_by_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.averaged(rows, "variant")
 
 
-@query("entity_aliases")
+@query(
+    "entity_aliases",
+    _ENTITIES
+    + f""", w AS (SELECT chunk_id, ord, {_first('ts')} AS ws FROM (SELECT chunk_id, ord, {_tok("name")} AS ts FROM ent)),
+l AS (SELECT chunk_id, ord, ws, unnest(ws) AS word FROM w WHERE len(ws) > 1), p AS (SELECT chunk_id, ord, word, unnest(ws) AS alias, unnest(range(len(ws))) AS j FROM l),
+f AS (SELECT word, alias, min({{'c': chunk_id, 'o': ord, 'j': j}}) AS spot FROM p WHERE word <> alias GROUP BY ALL)
+SELECT word, alias, CAST(row_number() OVER (PARTITION BY word ORDER BY spot, alias) AS INT) AS place FROM f QUALIFY place <= 6""",
+)
 def entity_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.aliases(graph.chunk_entities(chunks(spark, sf_dir), whole_entities))
+    return graph.aliases(found_entities(spark, sf_dir))
 
 
 @query(
