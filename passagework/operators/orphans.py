@@ -21,6 +21,10 @@ from passagework.session import parallelism
 #: Stand for an unknown time and for a deletion that never happened.
 NONE, NEVER = -(2**63), 2**63 - 1
 
+#: Bound of the table of ranges that is broadcast (some 16 bytes a row). With the default batch its ranges stay within
+#: the batch up to 4e11 keys; beyond that arrays grow, and nothing is lost.
+MOST_BITS = 20
+
 MISSES = "table_name string, field_name string, record_id string, reason string, ref_micros long"
 
 
@@ -95,6 +99,12 @@ def _probe(refs: pd.DataFrame, parents: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
+def range_bits(ranges: int | None, least: int, rows: int, batch_rows: int) -> int:
+    """Bits of the range number: for ``ranges`` if given, else enough ranges for ``rows``, and not more than ``MOST_BITS``."""
+    wanted = ranges or max(least, -(-rows // batch_rows))
+    return min(max(1, (wanted - 1).bit_length()), MOST_BITS)
+
+
 def orphan_references(refs: DataFrame, parents: DataFrame, ranges: int | None = None, batch_rows: int = 400_000) -> DataFrame:
     """Misses of ``refs`` (from ``references``) against ``parents`` (from ``parent_keys``).
 
@@ -104,10 +114,12 @@ def orphan_references(refs: DataFrame, parents: DataFrame, ranges: int | None =
     references; a record without created_at can only be ``missing`` and has a null month. Empty
     tables: no references give no rows, no parents make every reference ``missing``.
 
-    ranges: number of key ranges (a power of two is taken); by default four per shuffle partition.
-    batch_rows: most references that are probed at once; hot ranges are split to keep to it.
+    ranges: number of key ranges (a power of two is taken); by default four per shuffle partition, and more where
+    parents or references are so many that a range would hold more than ``batch_rows`` of them on average.
+    batch_rows: most references that are probed at once; hot ranges are split to keep to it. Parents have one row per
+    key, so their ranges are even and the number of ranges bounds the array of a task.
     """
-    bits = max(1, ((ranges or 4 * parallelism(refs.sparkSession)) - 1).bit_length())
+    bits = range_bits(ranges, 4 * parallelism(refs.sparkSession), 0 if ranges else max(refs.count(), parents.count()), batch_rows)
     placed = _placed(refs, bits)
     # one row per range, so at most 2^bits rows: this bound is what allows the broadcasts
     sizes = placed.groupBy("range").count().select("range", F.greatest(F.ceil(F.col("count") / batch_rows), F.lit(1)).cast("int").alias("splits"))

@@ -1,6 +1,9 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
+from passagework.operators import orphans
 from passagework.operators.orphans import orphan_references, orphan_report, parent_keys, references
 
 T = dt.datetime
@@ -59,3 +62,17 @@ def test_hot_key_is_split_and_agrees_with_brute_force(spark):
 def test_report_counts(spark):
     misses = spark.createDataFrame([("t", "f", "1", "late", "2024-01"), ("t", "f", "2", "late", "2024-01")], "table_name string, field_name string, record_id string, reason string, ref_month string")
     assert [r.n_orphans for r in orphan_report(misses).collect()] == [2]
+
+
+def test_ranges_follow_the_number_of_rows():
+    assert orphans.range_bits(None, 32, 10, 400_000) == 5
+    assert orphans.range_bits(None, 32, 400_000 * 1000, 400_000) == 10
+    assert orphans.range_bits(None, 32, 10**15, 400_000) == orphans.MOST_BITS
+    assert orphans.range_bits(1, 32, 10**9, 400_000) == 1
+
+
+def test_small_batches_give_the_same_misses(spark):
+    refs = spark.range(3000).select(F.lit("t").alias("table_name"), F.lit("f").alias("field_name"), F.lit("p").alias("parent"), F.concat(F.lit("k"), F.col("id") % 700).alias("key"), F.col("id").cast("string").alias("record_id"), F.lit(5).cast("long").alias("created"))
+    parents = spark.range(600).select(F.lit("p").alias("parent"), F.concat(F.lit("k"), F.col("id")).alias("key"), (F.col("id") % 10).alias("born"), F.lit(None).cast("long").alias("gone"))
+    found = [sorted(map(tuple, orphans.orphan_references(refs, parents, batch_rows=n).collect())) for n in (7, 400_000)]
+    assert found[0] == found[1] and {r[3] for r in found[0]} == {"missing", "late"} and sum(r[3] == "missing" for r in found[0]) == sum(i % 700 >= 600 for i in range(3000))
