@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.functions.text import category_of, document_type, parent_key, version_of
+from passagework.functions.text import CATEGORIES, category_of, document_type, parent_key, version_of
 from passagework.operators import dense, evaluation, graph
 from passagework.operators import lexical as lex
 from passagework.plans.retrieval import _BASE, _HYBRID, _STOP, GRAPH_SQL, _tok, chunks, graph_ranked, hybrid, questions
@@ -105,6 +105,9 @@ def graph_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_ranked(spark, sf_dir).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
+_DOC_TYPE = r"""CASE lower(regexp_extract(source_name, '\.([^.]+)$', 1)) WHEN 'pdf' THEN 'pdf' WHEN 'docx' THEN 'document' WHEN 'doc' THEN 'document' WHEN 'txt' THEN 'text' WHEN 'md' THEN 'markdown' WHEN 'csv' THEN 'spreadsheet' WHEN 'xlsx' THEN 'spreadsheet' WHEN 'html' THEN 'web' ELSE modality END"""
+
+
 @query(
     "chunk_metadata",
     r"""WITH c AS (SELECT id, any_value(content) AS content, any_value(source_name) AS source_name, any_value(modality) AS modality, any_value(file_id) AS file_id, any_value(chunk_index) AS chunk_index FROM document_chunks GROUP BY id),
@@ -117,7 +120,18 @@ def chunk_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("chunk_id", document_type(F.col("source_name"), F.col("modality")).alias("doc_type"), parent_key(F.col("file_id"), F.col("source_name"), F.col("chunk_index")).alias("parent"))
 
 
-@query("metadata_profile")
+_CATEGORY = "CASE " + " ".join(f"WHEN list_has_any(words, {list(hints)}) THEN '{name}'" for name, hints in CATEGORIES.items()) + " END"
+
+
+@query(
+    "metadata_profile",
+    r"""WITH c AS (SELECT id, any_value(content) AS content, any_value(source_name) AS source_name, any_value(modality) AS modality FROM document_chunks GROUP BY id),
+h AS (SELECT *, regexp_extract_all(lower(coalesce(source_name, '')), '[a-z0-9]+') AS words, substring(regexp_replace(coalesce(content, ''), '^\s*\d+(\.\d+){0,3}[.)]?\s+([A-Z])', '\2'), 1, 400) AS head FROM c),
+k AS (SELECT """
+    + _DOC_TYPE + " AS doc_type, " + _CATEGORY
+    + r""" AS category, regexp_matches(head, '(?i)\bv(?:ersion)?[\s.]?(\d+(?:\.\d+){0,3})\b|\b(\d+\.\d+(?:\.\d+){0,2})\b') AS versioned FROM h)
+SELECT doc_type, category, versioned, count(*) AS n FROM k GROUP BY ALL""",
+)
 def metadata_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages by document type, category and whether they name a version."""
     rows = chunks(spark, sf_dir)
