@@ -7,6 +7,9 @@ once, only the terms that are asked for leave the scan, and corpus statistics ar
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -222,6 +225,27 @@ def vocabulary_gap(questions: DataFrame, chunks: DataFrame, most: int = 6) -> Da
     return missing.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))).where(F.col("place") <= most).select("query_id", "term", "place")
 
 
+def vocabulary_hint(missing: DataFrame) -> DataFrame:
+    """query_id, hint: a sentence that names the words of a question (query_id, term, place, as ``vocabulary_gap`` gives them)
+    that no passage has. Questions whose words all occur have no row."""
+    words = missing.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("ws"))
+    listed = F.array_join(F.transform("ws", lambda w: F.concat(F.lit("**"), w["term"], F.lit("**"))), ", ")
+    verb = F.when(F.size("ws") == 1, "does not appear").otherwise("do not appear")
+    return words.select("query_id", F.concat(F.lit(" "), listed, F.lit(" "), verb, F.lit(" anywhere in this document.")).alias("hint"))
+
+
+def by_mode(questions: DataFrame, rankers: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """query_id, mode, chunk_id, rank, score: every question (query_id, question, mode) ranked in its mode.
+
+    A ranker gets the questions of its mode as query_id, question, and gives query_id, chunk_id, rank, score. The modes are
+    those of ``functions.text.MODES``; questions whose mode has no ranker have no rows."""
+    rows = [
+        rank(questions.where(F.col("mode") == mode).select("query_id", "question")).select("query_id", F.lit(mode).alias("mode"), "chunk_id", "rank", "score")
+        for mode, rank in rankers.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def _shortened(term: Column) -> Column:
     """The term and the term without one of its characters: two terms within one edit share one of these."""
     cut = F.transform(F.sequence(F.lit(1), F.char_length(term)), lambda i: F.concat(F.substring(term, F.lit(1), i - 1), F.substring(term, i + 1, F.lit(10_000))))

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from passagework.functions.text import CATEGORIES, category_of, document_type, parent_key, version_of
 from passagework.operators import dense, evaluation, graph
-from passagework.operators import lexical as lex
-from passagework.plans.retrieval import _BASE, _HYBRID, _STOP, GRAPH_SQL, _tok, chunks, graph_ranked, hybrid, questions
+from passagework.plans.retrieval import _BASE, _HYBRID, _STOP, GRAPH_SQL, _tok, chunks, graph_ranked, hybrid, judged
 from passagework.queries import query
 from passagework.session import read_table
 from passagework.sources import vectors
@@ -164,9 +163,10 @@ def _metric_sql(k: int) -> str:
     return f"""coalesce(h{k}, 0) / n AS recall_{k}, coalesce(h{k}, 0) / {k} AS precision_{k}, CAST(coalesce(h{k}, 0) > 0 AS INT) AS hit_{k}, coalesce(g{k}, 0) / list_sum(list_transform(range(1, least(n, {k}) + 1), lambda i: 1 / log2(i + 1))) AS ndcg_{k}"""
 
 
+_COUNTED = ", ".join(f"count_if(rank <= {k}) AS h{k}, sum(CASE WHEN rank <= {k} THEN 1 / log2(rank + 1) ELSE 0 END) AS g{k}" for k in evaluation.CUTS)
 _METRICS = f"""WITH {_DENSE}, rel AS (SELECT a.vec_id AS query_id, b.vec_id AS item FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
 n AS (SELECT query_id, count(*) AS n FROM rel GROUP BY ALL),
-h AS (SELECT query_id, min(rank) AS first, {', '.join(f"count_if(rank <= {k}) AS h{k}, sum(CASE WHEN rank <= {k} THEN 1 / log2(rank + 1) ELSE 0 END) AS g{k}" for k in evaluation.CUTS)} FROM dr JOIN rel USING (query_id, item) WHERE rank <= 10 GROUP BY ALL),
+h AS (SELECT query_id, min(rank) AS first, {_COUNTED} FROM dr JOIN rel USING (query_id, item) WHERE rank <= 10 GROUP BY ALL),
 m AS (SELECT query_id, coalesce(1.0 / first, 0) AS mrr, {', '.join(map(_metric_sql, evaluation.CUTS))} FROM n LEFT JOIN h USING (query_id))"""
 
 
@@ -181,14 +181,24 @@ def ir_metrics_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.averaged(label_metrics(spark, sf_dir))
 
 
-@query("ir_metrics_by_variant")
+_AVERAGES = ", ".join(f"round(avg({c}), 6) AS {c}" for c in ["mrr", *(f"{m}_{k}" for k in evaluation.CUTS for m in ("recall", "precision", "hit", "ndcg"))])
+
+
+@query(
+    "ir_metrics_by_variant",
+    _BASE + "," + _HYBRID
+    + f""", rel AS (SELECT query_id, chunk_id FROM (SELECT DISTINCT chunk_id, unnest({_tok("content")}) AS term FROM c) JOIN qt USING (term) GROUP BY ALL HAVING count(*) >= 3),
+n AS (SELECT query_id, count(*) AS n FROM rel GROUP BY ALL),
+lists AS (SELECT 'lexical' AS variant, query_id, chunk_id, rank FROM hy_r UNION ALL SELECT 'bm25', query_id, chunk_id, rank FROM bmr),
+h AS (SELECT variant, query_id, min(rank) AS first, {_COUNTED} FROM lists JOIN rel USING (query_id, chunk_id) WHERE rank <= 10 GROUP BY ALL),
+m AS (SELECT variant, query_id, coalesce(1.0 / first, 0) AS mrr, {', '.join(map(_metric_sql, evaluation.CUTS))} FROM (SELECT * FROM n, (VALUES ('lexical'), ('bm25')) v(variant)) LEFT JOIN h USING (variant, query_id))
+SELECT variant, count(*) AS n_queries, {_AVERAGES} FROM m GROUP BY variant""",
+)
 def ir_metrics_by_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical and BM25 rankings against judgements: a passage with at least three terms of the question is relevant."""
     from passagework.plans.retrieval import bm25_ranked
 
-    terms = lex.question_terms(questions(spark)).select("query_id", "term")
-    inside = chunks(spark, sf_dir).select(F.col("chunk_id").alias("item"), F.explode(F.array_distinct(lex.tokens(F.col("content")))).alias("term"))
-    rel = inside.join(lex.small(terms), "term").groupBy("query_id", "item").count().where("count >= 3").select("query_id", "item")
+    rel = judged(spark, chunks(spark, sf_dir))
     variants = {"lexical": hybrid(spark, sf_dir, 10), "bm25": bm25_ranked(spark, sf_dir, 10)}
     rows = None
     for name, found in variants.items():

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passagework.operators import evaluation, precision
 from passagework.operators import lexical as lex
-from passagework.operators import precision
 from passagework.operators.graph import question_aliases
 from passagework.operators.questions import expanded
-from passagework.plans.retrieval import chat_questions, chunks, questions
+from passagework.plans.retrieval import chat_questions, chunks, judged, questions
 from passagework.queries import query
+from passagework.session import cut_lineage
 
 
 @query("precision_pipeline")
@@ -24,6 +27,15 @@ def precision_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return precision.trace(precision.retrieve(chunks(spark, sf_dir), questions(spark)))
 
 
+@query("ir_metrics_ablation")
+def ir_metrics_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each group of stages adds; a passage with at least three terms of the question is relevant."""
+    rows = cut_lineage(chunks(spark, sf_dir))
+    relevant = cut_lineage(judged(spark, rows))
+    found = [evaluation.per_query(precision.retrieve(rows, questions(spark), settings=s).select("query_id", F.col("chunk_id").alias("item"), F.col("place").alias("rank")), relevant).withColumn("variant", F.lit(name)) for name, s in precision.ABLATION.items()]
+    return evaluation.averaged(reduce(DataFrame.unionByName, found), "variant")
+
+
 @query("expanded_questions")
 def expanded_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of every chat question, and what is added to them."""

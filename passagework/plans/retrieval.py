@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from passagework.functions.keys import norm_key
-from passagework.functions.text import STOPWORDS, best_sentence, tokens
+from passagework.functions.text import STOPWORDS, best_sentence, mode_of, tokens
 from passagework.operators import graph
 from passagework.operators import lexical as lex
 from passagework.queries import query
@@ -38,6 +38,13 @@ def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lex.chunks_of(read_table(spark, sf_dir, "document_chunks"), distinct=False)
 
 
+def judged(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """query_id, item: a passage with at least three terms of the question in its content is relevant."""
+    terms = lex.question_terms(questions(spark)).select("query_id", "term")
+    inside = rows.select(F.col("chunk_id").alias("item"), F.explode(F.array_distinct(tokens(F.col("content")))).alias("term"))
+    return inside.join(lex.small(terms), "term").groupBy("query_id", "item").count().where("count >= 3").select("query_id", "item")
+
+
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 
 
@@ -152,9 +159,9 @@ def query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lex.query_variants(asked).withColumn("variant_no", F.col("variant_no").cast("long"))
 
 
-def fusion(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+def fusion(spark: SparkSession, sf_dir: str, k: int, qs: DataFrame | None = None) -> DataFrame:
     """Every variant of a question brings its first eight passages; they are fused by rank."""
-    variants = lex.query_variants(questions(spark)).withColumn("query_id", F.struct("query_id", "variant_no")).withColumnRenamed("variant", "question")
+    variants = lex.query_variants(questions(spark) if qs is None else qs).withColumn("query_id", F.struct("query_id", "variant_no")).withColumnRenamed("variant", "question")
     numbered = variants.select((F.col("query_id.query_id") * 10 + F.col("query_id.variant_no")).alias("query_id"), "question")
     lists = hybrid(spark, sf_dir, 8, numbered).withColumn("query_id", F.floor(F.col("query_id") / 10).cast("int"))
     return lex.ranked(lex.rrf(lists), k)
@@ -191,11 +198,12 @@ def evidence_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover.select("query_id", F.round("covered", 6).alias("covered"), "grade")
 
 
-def corrective(spark: SparkSession, sf_dir: str, first: DataFrame | None = None, fused: DataFrame | None = None) -> DataFrame:
+def corrective(spark: SparkSession, sf_dir: str, first: DataFrame | None = None, fused: DataFrame | None = None, qs: DataFrame | None = None) -> DataFrame:
     """The lexical list where it covers the question, the fused one elsewhere; both are given or made here."""
-    first = hybrid(spark, sf_dir, 5) if first is None else first
-    fused = fusion(spark, sf_dir, 5) if fused is None else fused
-    gate = lex.sufficient(lex.coverage(scanned(spark, sf_dir), questions(spark), first, 3)).select("query_id", "sufficient")
+    qs = questions(spark) if qs is None else qs
+    first = hybrid(spark, sf_dir, 5, qs) if first is None else first
+    fused = fusion(spark, sf_dir, 5, qs) if fused is None else fused
+    gate = lex.sufficient(lex.coverage(scanned(spark, sf_dir), qs, first, 3)).select("query_id", "sufficient")
     cols = ["query_id", "chunk_id", "rank", "score"]
     good = first.join(gate.where("sufficient"), "query_id").select(*cols, F.lit("lexical").alias("path"))
     return good.unionByName(fused.join(gate.where("not sufficient"), "query_id").select(*cols, F.lit("fusion").alias("path")))
@@ -282,28 +290,30 @@ boosted AS (SELECT coalesce(b.query_id, a.query_id) AS query_id, coalesce(b.chun
   FROM base b FULL JOIN aff a ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id)"""
 
 
-def graph_ranked(spark: SparkSession, sf_dir: str, k: int = 5, base: DataFrame | None = None) -> DataFrame:
+def graph_ranked(spark: SparkSession, sf_dir: str, k: int = 5, base: DataFrame | None = None, qs: DataFrame | None = None) -> DataFrame:
     """The lexical results with a boost for passages that entities of the question refer to."""
     refs = graph.references_of(read_table(spark, sf_dir, "rag_graph_entities"))
-    return graph.graph_boost(hybrid(spark, sf_dir, 8) if base is None else base, questions(spark), refs, k)
+    qs = questions(spark) if qs is None else qs
+    return graph.graph_boost(hybrid(spark, sf_dir, 8, qs) if base is None else base, qs, refs, k)
 
 
-def agentic(spark: SparkSession, sf_dir: str, k: int = 7) -> DataFrame:
+def agentic(spark: SparkSession, sf_dir: str, k: int = 7, qs: DataFrame | None = None) -> DataFrame:
     """Several rankings as weighted tools, merged by share of the tool's best score and rank; then a penalty for
     sources that were already picked. Within a source the results come in descending order, so the
     greedy choice is a sort by score less 0.15 per better result of the source."""
     graph = F.lower("question").rlike(r"\b(relat|connect|between|depend|link)")
     kinds = F.lower("question").rlike(r"\b(table|row|column|spreadsheet|image|figure|diagram|chart|audio|recording)\b")
-    weights = questions(spark).select("query_id", F.when(kinds, 1.35).otherwise(0.75).alias("multi"), F.when(graph, 1.35).otherwise(0.85).alias("graph"))
+    qs = questions(spark) if qs is None else qs
+    weights = qs.select("query_id", F.when(kinds, 1.35).otherwise(0.75).alias("multi"), F.when(graph, 1.35).otherwise(0.85).alias("graph"))
     cols = ["query_id", "chunk_id", "rank", "score"]
     # at most 13 rows per question, used by several tools
-    first, fused = cut_lineage(hybrid(spark, sf_dir, 8).select(*cols)), cut_lineage(fusion(spark, sf_dir, 5).select(*cols))
+    first, fused = cut_lineage(hybrid(spark, sf_dir, 8, qs).select(*cols)), cut_lineage(fusion(spark, sf_dir, 5, qs).select(*cols))
     tools = [
         (first, F.lit(1.0)),
         (fused, F.lit(1.25)),
-        (corrective(spark, sf_dir, first.where("rank <= 5"), fused).select(*cols), F.lit(1.15)),
-        (hybrid(spark, sf_dir, 5, counted=False, boost=True).select(*cols), F.col("multi")),
-        (graph_ranked(spark, sf_dir, base=first).select(*cols), F.col("graph")),
+        (corrective(spark, sf_dir, first.where("rank <= 5"), fused, qs).select(*cols), F.lit(1.15)),
+        (hybrid(spark, sf_dir, 5, qs, counted=False, boost=True).select(*cols), F.col("multi")),
+        (graph_ranked(spark, sf_dir, base=first, qs=qs).select(*cols), F.col("graph")),
     ]
     rows = reduce(DataFrame.unionByName, [t.join(lex.small(weights), "query_id").select(*cols, w.alias("weight"), F.lit(i).alias("tool")) for i, (t, w) in enumerate(tools)])
     share = F.col("score") / F.max("score").over(Window.partitionBy("query_id", "tool")) * F.col("weight") + 1.0 / (F.col("rank") + 4)
@@ -313,8 +323,7 @@ def agentic(spark: SparkSession, sf_dir: str, k: int = 7) -> DataFrame:
     return lex.ranked(sourced.withColumn("score", F.col("score") - 0.15 * (place - 1)), k)
 
 
-@query(
-    "agentic_merge",
+_AGENTIC = (
     _BASE + "," + _HYBRID + "," + _MM + "," + _cover_sql(3) + _FUSION
     + GRAPH_SQL
     + r""", gr AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank, score FROM boosted),
@@ -327,8 +336,62 @@ tools AS (SELECT query_id, chunk_id, rank, score, 1.0 AS weight, 0 AS tool FROM
   UNION ALL SELECT query_id, chunk_id, rank, score, graph, 4 FROM gr JOIN w USING (query_id) WHERE rank <= 5),
 shared AS (SELECT query_id, chunk_id, score / max(score) OVER (PARTITION BY query_id, tool) * weight + 1.0 / (rank + 4) AS score FROM tools),
 merged AS (SELECT query_id, chunk_id, source_name, sum(score) AS score FROM shared JOIN c USING (chunk_id) GROUP BY ALL),
-pen AS (SELECT query_id, chunk_id, score - 0.15 * (row_number() OVER (PARTITION BY query_id, source_name ORDER BY round(score, 9) DESC, chunk_id) - 1) AS score FROM merged)
-SELECT CAST(query_id AS INT) AS query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS INT) AS rank, round(score, 6) AS score FROM pen QUALIFY rank <= 7""",
+pen AS (SELECT query_id, chunk_id, score - 0.15 * (row_number() OVER (PARTITION BY query_id, source_name ORDER BY round(score, 9) DESC, chunk_id) - 1) AS score FROM merged)"""
+)
+
+
+@query(
+    "agentic_merge",
+    _AGENTIC + " SELECT CAST(query_id AS INT) AS query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS INT) AS rank, round(score, 6) AS score FROM pen QUALIFY rank <= 7",
 )
 def agentic_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agentic(spark, sf_dir).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(
+    "vocabulary_hint",
+    _BASE + _GAP
+    + """, missing AS (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS place FROM asked ANTI JOIN stats USING (term) QUALIFY place <= 6)
+SELECT query_id, ' ' || string_agg('**' || term || '**', ', ' ORDER BY place) || CASE count(*) WHEN 1 THEN ' does not appear' ELSE ' do not appear' END || ' anywhere in this document.' AS hint FROM missing GROUP BY query_id""",
+)
+def vocabulary_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said to a chat question with words that no passage has."""
+    return lex.vocabulary_hint(vocabulary_gap(spark, sf_dir))
+
+
+#: How each question wants to be ranked, as a user writes it.
+ASKED_MODES = ((1, "agentic-rag"), (2, " RAG-Fusion "), (3, "multi_modal"), (4, "Graph-RAG"), (5, "CORRECTIVE"), (6, "by hand"))
+
+
+def rankers(spark: SparkSession, sf_dir: str) -> dict:
+    from passagework.operators import precision
+
+    return {
+        "contextual_hybrid": lambda qs: hybrid(spark, sf_dir, 5, qs),
+        "rag_fusion": lambda qs: fusion(spark, sf_dir, 5, qs),
+        "graph_rag": lambda qs: graph_ranked(spark, sf_dir, qs=qs),
+        "corrective": lambda qs: corrective(spark, sf_dir, qs=qs),
+        "multi_modal": lambda qs: hybrid(spark, sf_dir, 5, qs, counted=False, boost=True),
+        "agentic_rag": lambda qs: agentic(spark, sf_dir, qs=qs),
+        "high_precision": lambda qs: precision.retrieve(chunks(spark, sf_dir), qs).withColumnRenamed("place", "rank"),
+    }
+
+
+@query(
+    "mode_dispatch",
+    _AGENTIC
+    + """, ranks AS (SELECT query_id, 'agentic_rag' AS mode, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank, score FROM pen WHERE query_id = 1 QUALIFY rank <= 7
+  UNION ALL SELECT query_id, 'rag_fusion', chunk_id, rank, score FROM fu_r WHERE query_id = 2 AND rank <= 5
+  UNION ALL SELECT query_id, 'multi_modal', chunk_id, rank, score FROM mm_r WHERE query_id = 3 AND rank <= 5
+  UNION ALL SELECT query_id, 'graph_rag', chunk_id, rank, score FROM gr WHERE query_id = 4 AND rank <= 5
+  UNION ALL SELECT query_id, 'corrective', chunk_id, rank, score FROM hy_r WHERE query_id = 5 AND rank <= 5 AND EXISTS (SELECT 1 FROM cov WHERE cov.query_id = 5 AND covered >= 0.35 AND best > 0)
+  UNION ALL SELECT query_id, 'corrective', chunk_id, rank, score FROM fu_r WHERE query_id = 5 AND rank <= 5 AND EXISTS (SELECT 1 FROM cov WHERE cov.query_id = 5 AND NOT (covered >= 0.35 AND best > 0))
+  UNION ALL SELECT query_id, 'contextual_hybrid', chunk_id, rank, score FROM hy_r WHERE query_id = 6 AND rank <= 5)
+SELECT CAST(query_id AS INT) AS query_id, mode, chunk_id, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM ranks""",
+)
+def mode_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each question ranked in the mode it asks for; an unknown mode is the first one."""
+    modes = spark.createDataFrame(ASKED_MODES, "query_id int, asked string").withColumn("mode", mode_of(F.col("asked")))
+    wanted = {r["mode"] for r in modes.select("mode").distinct().collect()}  # at most as many as there are modes
+    ranked = lex.by_mode(questions(spark).join(modes, "query_id"), {m: r for m, r in rankers(spark, sf_dir).items() if m in wanted})
+    return ranked.withColumn("score", F.round("score", 6))

@@ -4,9 +4,10 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from passagework.functions import text
 from passagework.operators import dense, evaluation, graph
 from passagework.operators import lexical as lex
-from passagework.operators.precision import Settings, around, closeness, cross_score, diverse, likeness, retrieve, trace, without_duplicates
+from passagework.operators.precision import ABLATION, Settings, around, closeness, cross_score, diverse, likeness, retrieve, trace, without_duplicates
 from passagework.operators.questions import expanded, forms, normal, terms_in, unhyphened, widened
 
 COLUMNS = "id string, resource_id string, file_id string, chunk_index int, source_name string, modality string, title string, content string, contextual_content string, page_start int, page_end int, score double, rank int"
@@ -175,3 +176,31 @@ def test_group_metrics(spark):
     groups = spark.createDataFrame([(1, 0, "b"), (1, 0, "a"), (1, 1, "c"), (1, 2, "z")], "query_id int, group_id int, item string")
     m = evaluation.per_query_groups(results, groups).first()
     assert m.mrr == 1.0 and math.isclose(m.recall_5, 2 / 3) and math.isclose(m.ndcg_5, (1 + 1 / 2) / (1 + 1 / math.log2(3) + 1 / 2))
+
+
+def test_modes_and_their_rankers(spark):
+    spelled = ["Rag-Fusion", " corrective\n", "", None, "what", "HIGH_PRECISION"]
+    got = [r.m for r in spark.createDataFrame([(i, s) for i, s in enumerate(spelled)], "i int, s string").select("i", text.mode_of(F.col("s")).alias("m")).orderBy("i").collect()]
+    assert got == ["rag_fusion", "corrective", "contextual_hybrid", "contextual_hybrid", "contextual_hybrid", "high_precision"]
+    asked = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, "c", "z")], "query_id int, question string, mode string")
+    ranker = lambda score: lambda qs: qs.select("query_id", F.col("question").alias("chunk_id"), F.lit(1).alias("rank"), F.lit(score).alias("score"))
+    rows = lex.by_mode(asked, {"x": ranker(0.5), "y": ranker(0.25)}).collect()
+    assert sorted(map(tuple, rows)) == [(1, "x", "a", 1, 0.5), (2, "y", "b", 1, 0.25)]
+
+
+def test_hint_names_missing_words(spark):
+    gap = spark.createDataFrame([(1, "ring", 2), (1, "piston", 1), (2, "size", 1)], "query_id int, term string, place int")
+    rows = dict(map(tuple, lex.vocabulary_hint(gap).collect()))
+    assert rows == {1: " **piston**, **ring** do not appear anywhere in this document.", 2: " **size** does not appear anywhere in this document."}
+
+
+def test_stages_can_be_left_out(spark):
+    rng = random.Random(5)
+    rows = frame(spark, [" ".join(rng.choice(["valve", "pump", "seal", "ring", "stock", "crane", "bolt"]) for _ in range(rng.randint(4, 14))) for _ in range(30)])
+    q = spark.createDataFrame([(1, "valve seal pump"), (2, "crane ring")], "query_id int, question string")
+    bare = {(r.query_id, r.place): r.chunk_id for r in retrieve(rows, q, settings=ABLATION["bm25"]).collect()}
+    terms = lex.question_terms(q).select("query_id", "term", F.lit(1.0).alias("weight"), F.lit(True).alias("typed"))
+    plain = {(r.query_id, r["rank"]): r.chunk_id for r in lex.ranked(lex.capped(lex.bm25(rows, terms)), 10).collect()}
+    assert bare == plain and len(bare) == 20
+    kept = {r.stage: r.kept for r in trace(retrieve(rows, q, settings=ABLATION["bm25_rerank"]).where("query_id = 1")).collect()}
+    assert kept["dedup"] == kept["rerank"] == 20 and kept["diversity"] == 10
