@@ -7,19 +7,25 @@ once, only the terms that are asked for leave the scan, and corpus statistics ar
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagework.functions.text import INTENTS, tokens
-from passagework.session import cut_lineage
+from passagework.session import cut_lineage, parallelism, spread_lookup
 
 #: Most question terms that are broadcast to the scan; more are joined by shuffle.
 MOST_TERMS = 100_000
 #: Most question terms that are written into the plan itself.
 LISTED_TERMS = 2000
+#: Passages and questions of a scope that meet in one block at most, about; rows of a group of blocks; scores held at once.
+BLOCK_PASSAGES, BLOCK_QUESTIONS, GROUP_ROWS, CELLS = 16_384, 8192, 8000, 1_000_000
 #: Saturation and length normalisation of BM25, weights of the lexical score.
 K1, B = 1.2, 0.75
 COVERAGE, EXACT, TITLE = 3.0, 2.0, 0.5
@@ -192,24 +198,153 @@ def sufficient(cover: DataFrame, least: float = 0.35, similar: DataFrame | None
     return cover.join(near, "query_id", "left").withColumn("sufficient", enough | F.coalesce("near", F.lit(False))).drop("near")
 
 
-def scoped_bm25(chunks: DataFrame, questions: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """query_id, chunk_id, score: every question (query_id, scope, question) asked of the passages of its scope, with the
-    statistics of that scope: number of passages, their mean length, and document frequencies.
+def scoped_bm25(chunks: DataFrame, questions: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """query_id, chunk_id, score, rank: the first ``k`` passages for every question (query_id, scope, question), asked of the
+    passages of its scope, with the statistics of that scope: number of passages, their mean length, and document frequencies.
 
-    chunks: chunk_id, scope, contextual. Only postings of asked (scope, term) pairs take part, and they meet questions by a
-    shuffle join on both, so neither a question's nor a scope's rows go through one task as a whole.
+    chunks: chunk_id, scope, contextual. Every question meets every passage of its scope that has a term of it, but these
+    pairs never become rows: passages and questions of a scope meet in blocks, and of a block only the first ``k`` passages of a
+    question leave the task. Questions of a scope with the same terms are scored once.
     """
-    terms = cut_lineage(questions.select("query_id", "scope", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term")))
-    scopes = terms.select("scope").distinct()
-    words = tokens(F.col("contextual"))
-    rows = cut_lineage(chunks.where("scope is not null").select("chunk_id", "scope", words.alias("words")).join(scopes, "scope", "left_semi").dropDuplicates(["chunk_id"]))
-    sizes = rows.groupBy("scope").agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"))
-    found = rows.select("chunk_id", "scope", F.size("words").alias("length"), F.explode("words").alias("term")).groupBy("scope", "term", "chunk_id", "length").agg(F.count("*").alias("tf"))
-    wanted = cut_lineage(found.join(terms.select("scope", "term").distinct(), ["scope", "term"], "left_semi"))
-    weights = wanted.groupBy("scope", "term").agg(F.count("*").alias("df")).join(sizes, "scope").select("scope", "term", idf(F.col("df"), F.col("n")).alias("idf"), "mean")
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.greatest(F.col("mean"), F.lit(1e-9))))
-    asked = terms.join(weights, ["scope", "term"])
-    return asked.join(wanted, ["scope", "term"]).groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
+    spark = chunks.sparkSession
+    words = F.flatten(F.collect_set(F.array_distinct(tokens(F.col("question")))))
+    asked = questions.groupBy("query_id", "scope").agg(F.array_join(F.array_sort(F.array_distinct(words)), " ").alias("words")).where("words != ''")
+    asked = cut_lineage(asked.select("query_id", F.concat("words", F.lit("\n"), "scope").alias("key")))
+    # a scope may have line breaks, terms have none
+    sets = cut_lineage(asked.select("key").distinct())
+    sets = sets.select("key", F.substring_index("key", "\n", 1).alias("words"), F.expr("substring(key, instr(key, '\n') + 1)").alias("scope"))
+    n, m = chunks.count(), sets.count()
+    stored = chunks.where("scope is not null").groupBy("scope").agg(F.ceil(F.count("*") / BLOCK_PASSAGES).cast("int").alias("pieces")).where("pieces > 1")
+    many = sets.groupBy("scope").agg(F.ceil(F.count("*") / BLOCK_QUESTIONS).cast("int").alias("turns")).where("turns > 1")
+    # few scopes are larger than a block
+    large = cut_lineage(stored.join(many, "scope", "full").select("scope", F.coalesce("pieces", F.lit(1)).alias("pieces"), F.coalesce("turns", F.lit(1)).alias("turns")))
+    units = large.agg(F.coalesce(F.sum(F.col("pieces") * F.col("turns")), F.lit(0))).first()[0]
+    groups = max(parallelism(spark), (n + m) // GROUP_ROWS + units)
+
+    def cut(df: DataFrame) -> DataFrame:
+        return df.join(small(large), "scope", "left").withColumns({"pieces": F.coalesce("pieces", F.lit(1)), "turns": F.coalesce("turns", F.lit(1))})
+
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    def grouped(df: DataFrame, *parts: str):
+        """df by group; a unit is a block of passages, and of questions, of a scope, and a group holds several."""
+        unit = F.concat_ws("\n", *(F.col(c).cast("string") for c in parts), "scope")
+        return df.withColumn("unit", unit).withColumn("group", F.pmod(F.xxhash64("unit"), F.lit(groups))).groupBy("group")
+
+    # passages with the numbers of the asked terms they have; text goes through the shuffle as its tokens only
+    terms = tokens(F.col("contextual"))
+    rows = chunks.where("scope is not null").select("chunk_id", "scope", F.array_join(terms, " ").alias("words")).dropDuplicates(["chunk_id"])
+    vocabulary = sets.select("scope", F.explode(F.split("words", " ")).alias("term")).distinct().groupBy("scope").agg(F.array_join(F.array_sort(F.collect_list("term")), " ").alias("words"))
+    vocabulary = cut_lineage(vocabulary)
+    if vocabulary.count() <= MOST_TERMS:  # else the groups leave out the passages of other scopes
+        rows = rows.join(F.broadcast(vocabulary.select("scope")), "scope", "left_semi")
+    pieces = cut(rows).withColumn("piece", F.pmod(F.xxhash64("chunk_id"), F.col("pieces")).cast("int"))
+    known = cut(vocabulary).withColumn("piece", every("pieces"))
+    coded = grouped(pieces.select("chunk_id", "scope", "piece", "turns", "words"), "piece").cogroup(grouped(known.select("scope", "piece", "words"), "piece"))
+    coded = cut_lineage(coded.applyInArrow(_numbered, "chunk_id string, scope string, piece int, turns int, length int, terms array<int>, tf array<int>"))
+    sizes = coded.groupBy("scope").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    df = coded.select("scope", F.explode("terms").alias("term")).groupBy("scope", "term").agg(F.count("*").alias("df"))
+    weights = df.join(sizes, "scope").select("scope", "mean", "term", idf(F.col("df"), F.col("n")).alias("idf"))
+    weights = weights.groupBy("scope").agg(F.first("mean").alias("mean"), F.collect_list("term").alias("terms"), F.collect_list("idf").alias("idf"))
+    blank = {"key": "string", "mean": "double", "terms": "array<int>", "idf": "array<double>"}
+    stats = vocabulary.join(weights, "scope").withColumn("key", F.lit(None).cast("string"))
+    right = cut(stats.unionByName(sets.withColumns({c: F.lit(None).cast(t) for c, t in blank.items() if c != "key"})))
+    turn = F.when(F.col("key").isNull(), F.sequence(F.lit(0), F.col("turns") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("turns")).cast("int")))
+    right = right.withColumn("turn", F.explode(turn)).withColumn("piece", every("pieces")).select("scope", "piece", "turn", *blank, "words")
+    left = coded.where(F.size("terms") > 0).withColumn("turn", every("turns")).select("chunk_id", "scope", "piece", "turn", "length", "terms", "tf")
+
+    def score(passages: pa.Table, asked: pa.Table) -> pa.Table:
+        return _first_of_units(passages, asked, k, k1, b)
+
+    best = grouped(left, "piece", "turn").cogroup(grouped(right, "piece", "turn")).applyInArrow(score, "key string, found array<struct<chunk_id:string,score:double>>")
+    order = F.transform(F.flatten(F.collect_list("found")), lambda x: F.struct((-F.round(x["score"], 9)).alias("worse"), x["chunk_id"].alias("chunk_id"), x["score"].alias("score")))
+    best = best.groupBy("key").agg(F.slice(F.array_sort(order), 1, k).alias("found"))
+    pairs = spread_lookup(asked, best, "key", "query_id").select("query_id", F.explode("found").alias("f"))
+    return ranked(pairs.select("query_id", "f.chunk_id", "f.score"), k)
+
+
+def _numbered(passages: pa.Table, known: pa.Table) -> pa.Table:
+    """Passages (of units whose terms are known) with the asked terms they have, by their numbers in the unit's sorted list."""
+    numbers = {u: {t: i for i, t in enumerate(w.split(" "))} for u, w in zip(known["unit"].to_pylist(), known["words"].to_pylist(), strict=True)}
+    kept, length, terms, tf = [], [], [], []
+    for i, (unit, words) in enumerate(zip(passages["unit"].to_pylist(), passages["words"].to_pylist(), strict=True)):
+        number = numbers.get(unit)
+        if number is None:
+            continue
+        listed = words.split(" ") if words else []
+        counts = Counter(number[t] for t in listed if t in number)
+        kept.append(i)
+        length.append(len(listed))
+        terms.append(list(counts))
+        tf.append(list(counts.values()))
+    some = passages.select(["chunk_id", "scope", "piece", "turns"]).take(pa.array(kept, pa.int64()))
+    ints = pa.list_(pa.int32())
+    return pa.table([*some.columns, pa.array(length, pa.int32()), pa.array(terms, ints), pa.array(tf, ints)], names=[*some.column_names, "length", "terms", "tf"])
+
+
+def _runs(units: pa.ChunkedArray) -> dict[str, tuple[int, int]]:
+    """First row and end of every unit in rows sorted by it."""
+    runs = pc.run_end_encode(units.combine_chunks())
+    ends = runs.run_ends.to_pylist()
+    return dict(zip(runs.values.to_pylist(), zip([0, *ends[:-1]], ends, strict=True), strict=True)) if ends else {}
+
+
+def _first_of_units(passages: pa.Table, asked: pa.Table, k: int, k1: float, b: float) -> pa.Table:
+    """key, found: the first ``k`` passages of every unit for every set of terms of it that has any. Rows of ``asked`` without a key hold
+    the unit's terms and their weights."""
+    passages = passages.sort_by([("unit", "ascending"), ("chunk_id", "ascending")]).combine_chunks()
+    asked = asked.sort_by([("unit", "ascending"), ("key", "ascending")]).combine_chunks()
+    length = passages["length"].to_numpy()
+    sizes = pc.list_value_length(passages["terms"]).to_numpy()
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    terms, tf = pc.list_flatten(passages["terms"]).to_numpy(), pc.list_flatten(passages["tf"]).to_numpy()
+    keys, listed, inside = asked["key"].to_pylist(), asked["words"].to_pylist(), _runs(asked["unit"])
+    which, chosen, scores, ns = [], [], [], []
+    for unit, (first, end) in _runs(passages["unit"]).items():
+        low, high = inside.get(unit, (0, 0))
+        if high - low < 2:
+            continue
+        # the row without a key is the last of its unit
+        number = {t: i for i, t in enumerate(listed[high - 1].split(" "))}
+        weight = np.zeros(len(number))
+        weight[np.array(asked["terms"][high - 1].as_py())] = asked["idf"][high - 1].as_py()
+        mean = max(asked["mean"][high - 1].as_py(), 1e-9)
+        own, freq = terms[at[first] : at[end]], tf[at[first] : at[end]]
+        holder = np.repeat(np.arange(end - first), sizes[first:end])
+        part = weight[own] * freq * (k1 + 1) / (freq + k1 * (1 - b + b * length[first:end][holder] / mean))
+        order = np.argsort(own, kind="stable")
+        holder, part = holder[order], part[order]
+        df = np.bincount(own, minlength=len(number))
+        start = np.cumsum(df) - df
+        sets = [[number[t] for t in w.split(" ")] for w in listed[low : high - 1]]
+        n, step = end - first, max(1, CELLS // (end - first))
+        for i in range(0, len(sets), step):
+            some = sets[i : i + step]
+            term = np.fromiter((t for s in some for t in s), "int64")
+            row = np.repeat(np.arange(len(some)), [len(s) for s in some])
+            count = df[term]
+            post = np.arange(count.sum()) + np.repeat(start[term] - (np.cumsum(count) - count), count)
+            table = np.bincount(np.repeat(row * n, count) + holder[post], weights=part[post], minlength=len(some) * n).reshape(len(some), n)
+            # of rounded scores that tie the first in the order of ids count, so all that may tie stay here
+            floor = np.partition(table, n - k, axis=1)[:, n - k, None] - 2e-9 if n > k else -1.0
+            r, c = np.nonzero((table > 0) & (table >= floor))
+            value = table[r, c]
+            order = np.lexsort((c, -np.round(value, 9), r))
+            r, c, value = r[order], c[order], value[order]
+            each = np.bincount(r, minlength=len(some))
+            place = np.arange(len(r)) - np.repeat(np.cumsum(each) - each, each)
+            kept = place < k
+            each = np.minimum(each, k)
+            which += [keys[low + i + j] for j in np.flatnonzero(each)]
+            ns.append(each[each > 0])
+            chosen.append(first + c[kept])
+            scores.append(value[kept])
+    none = np.zeros(0, "int64")
+    ids = passages["chunk_id"].take(pa.array(np.concatenate([none, *chosen]))).combine_chunks()
+    found = pa.StructArray.from_arrays([ids, pa.array(np.concatenate([np.zeros(0), *scores]))], names=["chunk_id", "score"])
+    ends = pa.array(np.concatenate([[0], np.cumsum(np.concatenate([none, *ns]))]).astype("int32"))
+    return pa.table([pa.array(which, pa.string()), pa.ListArray.from_arrays(ends, found)], names=["key", "found"])
 
 
 def graded(cover: DataFrame) -> DataFrame:

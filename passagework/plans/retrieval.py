@@ -111,7 +111,7 @@ def bm25_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = read_table(spark, sf_dir, "chat_history").where("id is not null and user_query is not null and brain is not null")
     asked = named.select(F.col("id").alias("query_id"), norm_key(F.col("brain")).alias("scope"), F.col("user_query").alias("question")).distinct()
     rows = scanned(spark, sf_dir).withColumn("scope", norm_key(F.col("resource_id")))
-    return lex.ranked(lex.scoped_bm25(rows, asked), 5).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    return lex.scoped_bm25(rows, asked, 5).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query("term_stats", _BASE + " SELECT term, df, cf, round(idf, 6) AS idf FROM stats")

@@ -44,6 +44,44 @@ def test_empty_corpus_and_questions(spark):
     assert lex.lexical(frame(spark, TEXTS), q.limit(0)).count() == 0
 
 
+def written(plan):
+    """Most rows that one shuffle of a plan that ran has written."""
+    name = plan.getClass().getSimpleName()
+    inner = [plan.executedPlan()] if name == "AdaptiveSparkPlanExec" else [plan.plan()] if name.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = plan.metrics().get("shuffleRecordsWritten").get().value() if name == "ShuffleExchangeExec" else 0
+    return max([own, *map(written, inner)])
+
+
+def test_scoped_bm25_in_blocks(spark, monkeypatch):
+    for name, size in (("BLOCK_PASSAGES", 40), ("BLOCK_QUESTIONS", 30), ("GROUP_ROWS", 50), ("CELLS", 100)):
+        monkeypatch.setattr(lex, name, size, raising=False)
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    docs = [(f"c{i:03}", "big" if i < 200 else f"s{i % 7}\n", " ".join(rnd.choices(words, k=rnd.randrange(9)))) for i in range(260)]
+    # asked twice, once with a term more; of two scopes; without terms; of no scope
+    asked = [(f"q{i:03}", "big", " ".join(rnd.choices(words, k=3))) for i in range(150)] + [(f"t{i}", f"s{i % 7}\n", " ".join(rnd.choices(words, k=3))) for i in range(14)]
+    asked += [("u", "big", "w1 w2"), ("u", "big", "w2 w3"), ("v", "big", "w4"), ("v", "s1\n", "w5 w5"), ("x", "big", "the"), ("y", "none", "w1")]
+    chunks, questions = spark.createDataFrame(docs + docs[:30], "chunk_id string, scope string, contextual string"), spark.createDataFrame(asked, "query_id string, scope string, question string")
+    terms, inside = {}, {}
+    for q, scope, text_ in asked:
+        terms.setdefault((q, scope), set()).update(terms_in(text_))
+    for c, scope, text_ in docs:
+        inside.setdefault(scope, {})[c] = terms_in(text_)
+    scores = {}
+    for (q, scope), wanted in terms.items():
+        own = inside.get(scope, {})
+        for c, d in own.items():
+            for t in wanted & set(d):
+                df, mean = sum(t in x for x in own.values()), sum(map(len, own.values())) / len(own)
+                scores.setdefault(q, {}).setdefault(c, []).append(math.log(1 + (len(own) - df + 0.5) / (df + 0.5)) * d.count(t) * 2.2 / (d.count(t) + 1.2 * (0.25 + 0.75 * len(d) / mean)))
+    want = {(q, c, i + 1) for q, of in scores.items() for i, c in enumerate(sorted(of, key=lambda c: (-round(math.fsum(of[c]), 9), c))[:5])}
+    found = lex.scoped_bm25(chunks, questions, 5)
+    assert {(r.query_id, r.chunk_id, r.rank) for r in found.collect()} == want
+    # 150 questions of "big" meet some 130 passages each: these pairs go through no shuffle
+    assert written(found._jdf.queryExecution().executedPlan()) < 5000
+    assert lex.scoped_bm25(chunks.limit(0), questions, 5).count() == 0 and lex.scoped_bm25(chunks, questions.limit(0), 5).count() == 0
+
+
 def test_variants_and_fusion(spark):
     q = spark.createDataFrame([(1, "the valve opens a pump"), (2, "valve"), (3, "")], "query_id int, question string")
     got = {}
