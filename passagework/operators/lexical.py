@@ -49,12 +49,19 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return questions.select("query_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
+def words_of(chunks: DataFrame) -> Column:
+    """Tokens of a passage: those of ``words``, joined by spaces, if the passages come with them, so that texts are cut only once."""
+    if "words" not in chunks.columns:
+        return tokens(F.col("contextual"))
+    return F.when(F.col("words") == "", F.array().cast("array<string>")).otherwise(F.split("words", " "))
+
+
 def found_terms(chunks: DataFrame, terms: DataFrame | None, *columns: str) -> DataFrame:
     """chunk_id, columns, length (number of tokens), term: a row per token, with ``terms`` only for these (query terms).
 
     A few asked terms are filtered inside the token array, so the other tokens never become rows. Repeated rows of a passage
     are dropped here, when only tokens are left."""
-    words = tokens(F.col("contextual"))
+    words = words_of(chunks)
     many, kept = None, words
     if terms is not None:
         asked = terms.select("term").distinct()
@@ -85,7 +92,7 @@ def idf(df: Column, n: Column) -> Column:
 
 def lengths(chunks: DataFrame) -> DataFrame:
     """chunk_id, length: number of tokens of every passage, each once."""
-    return chunks.select("chunk_id", F.size(tokens(F.col("contextual"))).alias("length")).dropDuplicates(["chunk_id"])
+    return chunks.select("chunk_id", F.size(words_of(chunks)).alias("length")).dropDuplicates(["chunk_id"])
 
 
 def corpus_size(chunks: DataFrame) -> tuple[int, float]:

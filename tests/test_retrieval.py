@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from passagework.functions import text
-from passagework.operators import dense, evaluation, graph
+from passagework.operators import dense, evaluation, graph, precision
 from passagework.operators import lexical as lex
 from passagework.operators.precision import ABLATION, Settings, around, closeness, cross_score, diverse, likeness, retrieve, trace, without_duplicates
 from passagework.operators.questions import expanded, forms, normal, terms_in, unhyphened, widened
@@ -242,3 +242,16 @@ def test_stages_can_be_left_out(spark):
     assert bare == plain and len(bare) == 20
     kept = {r.stage: r.kept for r in trace(retrieve(rows, q, settings=ABLATION["bm25_rerank"]).where("query_id = 1")).collect()}
     assert kept["dedup"] == kept["rerank"] == 20 and kept["diversity"] == 10
+
+
+def test_rankings_share_one_pass_over_the_texts(spark, monkeypatch):
+    """Repeated rows of passages count once, and a second ranking cuts no text again."""
+    calls = []
+    own = precision.with_metadata
+    monkeypatch.setattr(precision, "with_metadata", lambda *a: calls.append(1) or own(*a))
+    rows = frame(spark, TEXTS)
+    q = spark.createDataFrame([(1, "valve pump axle")], "query_id int, question string")
+    corpus = precision.corpus_of(rows.union(rows))
+    shared = {name: sorted(retrieve(corpus, q, settings=ABLATION[name]).collect()) for name in ("bm25", "full")}
+    assert len(calls) == 1 and corpus.marked.count() == len(TEXTS)
+    assert shared["full"] == sorted(retrieve(rows, q, settings=ABLATION["full"]).collect()) and shared["bm25"]
