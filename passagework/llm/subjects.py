@@ -1,7 +1,7 @@
 """Subject areas of documents.
 
 1. Terms (words and pairs of words) are hashed; how many documents have a term is counted in two tables of a fixed number
-   of slots, of which the smaller count holds. Documents become normalised tf-idf vectors, randomly projected to a fixed number of dimensions. Bisecting k-means is fitted on a bounded sample of the documents,
+   of slots, of which the smaller count holds. Documents become normalised tf-idf vectors, randomly projected to a fixed number of dimensions. Bisecting k-means is fitted on all documents,
    and every document goes to its nearest leaf.
 2. Terms that stand out among the hand-labelled documents of a subject point to it. A leaf is named by its discriminative
    terms, those more frequent in it than in the corpus: what they point to, added up, is the leaf's mixture of subjects.
@@ -33,8 +33,6 @@ from passagework.session import cut_lineage, parallelism
 
 #: Leaves of the clustering, iterations of a bisection, rounds in which terms are weighed anew.
 LEAVES, ITERATIONS, ROUNDS = 96, 6, 3
-#: Documents on which the clustering is fitted, about; all others are assigned to its leaves.
-FIT_ROWS = 20_000
 #: How clear a term's shares must be to point to a subject (first by leaves, later by sentences), and how sure its surest term makes a sentence.
 CLEAR, SURE = (0.15, 0.3), (0.18, 0.3)
 #: Dimensions of the projected document vectors, and dimensions that one term adds to.
@@ -165,18 +163,17 @@ def _used(ids: np.ndarray, lengths: np.ndarray, number: np.ndarray, second: np.n
     return new[keep], np.add.reduceat(keep.astype("int32"), np.cumsum(lengths) - lengths) if len(lengths) else lengths
 
 
-def leaf_centres(coded: DataFrame, n: int, shared: Broadcast, leaves: int, seed: int = 11) -> np.ndarray:
-    """Centres of the leaves of a bisecting k-means over about ``FIT_ROWS`` documents, chosen by the hash of their id."""
+def leaf_centres(coded: DataFrame, shared: Broadcast, leaves: int, seed: int = 11) -> np.ndarray:
+    """Centres of the leaves of a bisecting k-means over all documents."""
 
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, second, share = shared.value
         for batch in batches:
             for _, ids, lengths, docs in _flat(batch):
                 points = _points(*_used(ids, lengths, number, second), docs, share)
                 yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(points.ravel()), DIMENSIONS).cast(pa.list_(pa.float64()))], names=["point"])
 
-    some = coded.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n // FIT_ROWS)))) == 0).select("ids", "lengths")
-    points = some.mapInArrow(sampled, "point array<double>").select(array_to_vector("point").alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
+    points = coded.select("ids", "lengths").mapInArrow(projected, "point array<double>").select(array_to_vector("point").alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = BisectingKMeans(k=leaves, maxIter=ITERATIONS, seed=seed, minDivisibleClusterSize=8.0, featuresCol="features", predictionCol="leaf").fit(points)
         return np.array(model.clusterCenters())
@@ -272,7 +269,7 @@ def subjects_of(docs: DataFrame, labels: DataFrame, areas: DataFrame, leaves: in
     number, second, frequency = vocabulary(coded, n)
     size, width = len(frequency), len(names) + 1
     shared = spark.sparkContext.broadcast((number, second, frequency))
-    centres = leaf_centres(coded, n, shared, leaves)
+    centres = leaf_centres(coded, shared, leaves)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, second, frequency = shared.value
